@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from spanlake.llm import byte_bpe, exact_dedup, secret_scan, simhash
+from spanlake.llm import byte_bpe, exact_dedup, language_id, quality_gam, secret_scan, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_quality_gam": quality_gam.op5_quality_gam,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 SQL = {
