@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from spanlake.llm import byte_bpe, exact_dedup, language_id, quality_gam, secret_scan, simhash, toxicity
+from spanlake.llm import byte_bpe, decontaminate, exact_dedup, language_id, line_dedup, quality_gam, secret_scan, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_url_filter": url_filter.op2_url_filter,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_quality_gam": quality_gam.op5_quality_gam,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_secret_scan": secret_scan.op8_secret_scan,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_language_id": language_id.op10_language_id,
 }
 
 SQL = {
+    "op3_line_dedup": line_dedup.OP3_SQL,
     "op9_exact_dedup": exact_dedup.OP9_SQL,
 }
