@@ -15,6 +15,7 @@ import heapq
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -206,7 +207,7 @@ def bpe_decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None
     shared = encoded.sparkSession.sparkContext.broadcast(codec(path, pattern))
 
     @F.pandas_udf("string")
-    def back(ids: "pd.Series") -> "pd.Series":  # noqa: F821
+    def back(ids: pd.Series) -> pd.Series:
         c = shared.value
         return ids.map(lambda x: None if x is None else c.decode(np.asarray(x, "<u4").tobytes()).decode("utf-8", "replace"))
 
