@@ -1,11 +1,11 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
 N-grams of 3 to 6 characters are taken inside words with their boundaries, of
-lower-cased text, hashed to 2**20 buckets and counted once a document.  Document
-counts by label cover every labelled training row (one pass, summed by bucket).
-Buckets whose ratio differs from zero by `z` standard errors become features with
-the value r = log-count ratio; a logistic model over them is fitted on a bounded
-sample of labelled rows.
+lower-cased text, hashed to 2**20 buckets and counted once a document.  The model is
+fitted on a bounded sample of labelled documents (`max_rows`, by the order of a hash
+of their ids): buckets whose log-count ratio r differs from zero by `z` standard
+errors, `max_features` at most, become features of the value r, and a logistic
+model weighs them.  Every document is scored on its whole text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import bucket_of, id_text, table
+from spanlake.llm.common import bucket_of, id_text, settle, table
 from spanlake.llm.quality_gam import labelled_sample
 
 BITS, SIZES = 20, (3, 4, 5, 6)
@@ -67,17 +67,15 @@ class Grams:
         for i, w in enumerate(new):
             self.kept[w] = bucket[at[i]:at[i + 1]] if at[i] < at[i + 1] else None
 
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        """Distinct buckets of each text."""
-        sets = [set(WORDS.findall(t.lower())) for t in texts]
-        out = []
-        for lo in range(0, len(sets), 500):
-            if any(w not in self.kept for s in sets[lo:lo + 500] for w in s):
-                self.learn(set().union(*sets[lo:lo + 500]))
-            for s in sets[lo:lo + 500]:
+    def of(self, texts, part: int = 250):
+        """Distinct buckets of each text, in order; `part` texts are held as words at a time."""
+        for lo in range(0, len(texts), part):
+            sets = [set(WORDS.findall((t or "").lower())) for t in texts[lo:lo + part]]
+            if any(w not in self.kept for s in sets for w in s):
+                self.learn(set().union(*sets))
+            for s in sets:
                 got = [b for w in s if (b := self.kept[w]) is not None]
-                out.append(np.unique(np.concatenate(got)) if got else np.zeros(0, np.int32))
-        return out
+                yield np.unique(np.concatenate(got)) if got else np.zeros(0, np.int32)
 
 
 def _counts(batches):
@@ -85,7 +83,7 @@ def _counts(batches):
     grams, df, n = Grams(), np.zeros((2, 1 << BITS), np.int64), [0, 0]
     for batch in batches:
         y = batch.column("y").to_pylist()
-        for k, buckets in zip(y, grams.of([t or "" for t in batch.column("text").to_pylist()])):
+        for k, buckets in zip(y, grams.of(batch.column("text").to_pylist())):
             k = int(k > 0)
             df[k][buckets] += 1
             n[k] += 1
@@ -102,7 +100,7 @@ class NaiveBayesLinear:
         at[self.buckets] = np.arange(len(self.buckets))
         return at
 
-    def score(self, rows: list[np.ndarray]) -> np.ndarray:
+    def score(self, rows) -> np.ndarray:
         z = np.array([self.weights[r].sum() for r in rows], float) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
@@ -114,8 +112,8 @@ def fit_linear(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float =
     w, b = np.zeros(p), float(np.log(share / (1 - share)))
     if not n or not p or y.min() == y.max():
         return w, b
-    own, at = np.repeat(np.arange(n), [len(x) for x in rows]), np.concatenate(rows).astype(np.int64)
-    value = r[at] / np.abs(r).max()
+    own, at = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in rows]), np.concatenate(rows)
+    value = (r / np.abs(r).max()).astype(np.float32)[at]
     rate = 4 / (np.bincount(own, value ** 2, n).max() + 1 + l2)
     v, vb = w.copy(), b
     for k in range(1, steps + 1):
@@ -127,13 +125,13 @@ def fit_linear(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float =
     return w * r / np.abs(r).max(), b
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, max_rows: int = 12_000,
-          max_features: int = 20_000, z: float = 3.5, min_df: int = 4) -> NaiveBayesLinear:
-    """Document counts over all labelled rows that keep admits; the linear fit on at most max_rows of them."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, max_rows: int = 20_000,
+          max_features: int = 4_000, z: float = 2.5, min_df: int = 3) -> NaiveBayesLinear:
+    """Fit on at most max_rows labelled documents, whole texts, that keep (a condition on __id) admits."""
     keep = F.lit(True) if keep is None else keep
-    own = labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y")).where(F.col("__id").isNotNull() & F.col("y").isNotNull() & keep).groupBy("__id").agg(F.max("y").alias("y"))
-    rows = docs.join(own, docs["doc_id"] == F.col("__id")).select("text", "y")
+    rows = settle(labelled_sample(docs, labels, label, max_rows, keep).select("text", "y").repartition(32), "labelled")
     sums = rows.mapInArrow(_counts, "bucket long, df0 long, df1 long").groupBy("bucket").agg(F.sum("df0").alias("a"), F.sum("df1").alias("b")).where((F.col("bucket") < 0) | (F.col("a") + F.col("b") >= min_df))
+    sums = settle(sums, "counts")  # a row for each bucket at most
     total = F.broadcast(sums.where("bucket < 0").select(F.col("a").alias("na"), F.col("b").alias("nb")))  # one row
     n0, n1 = F.col("na"), F.col("nb")
     ratio = F.log((F.col("b") + 0.5) / (n1 + 1)) - F.log((F.col("a") + 0.5) / (n0 + 1))
@@ -150,10 +148,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, m
     def featured(batches):
         grams = Grams(shared.value)
         for batch in batches:
-            got = grams.of([t or "" for t in batch.column("text").to_pylist()])
+            got = grams.of(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in got], pa.binary()), batch.column("y")], names=["x", "y"])
 
-    sample = labelled_sample(docs, labels, label, max_rows, keep).select("text", "y").mapInArrow(featured, "x binary, y int").collect()
+    sample = rows.mapInArrow(featured, "x binary, y int").collect()
     sample.sort(key=lambda s: (bytes(s["x"]), s["y"]))
     model.weights, model.bias = fit_linear([np.frombuffer(s["x"], np.int32) for s in sample], np.array([s["y"] > 0 for s in sample], float), r)
     return model
@@ -167,7 +165,7 @@ def toxicity_scores(docs: DataFrame, model: NaiveBayesLinear, id_col: str = "doc
     def run(batches):
         grams = Grams(shared.value.index())
         for batch in batches:
-            score = shared.value.score(grams.of([t or "" for t in batch.column("text").to_pylist()]))
+            score = shared.value.score(grams.of(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, score double")
