@@ -65,6 +65,7 @@ _ALNUM = regex.compile(r"[\p{Alphabetic}\p{N}]")
 _MARK = regex.compile(r"\p{M}+")
 _SYMBOL = regex.compile(r"\p{S}")
 _BARRED = regex.compile(r"[\p{P}\p{Z}\p{C}]")
+_QUOTES = {0x27: ".", 0x2019: "."}
 _JOINERS = "\u200d\ufe0e\ufe0f"
 _EMOJI = regex.compile(r"(?:\p{Extended_Pictographic}|\p{Emoji_Presentation}|\p{Regional_Indicator}{2}|[0-9#*]\ufe0f?\u20e3)")
 
@@ -117,7 +118,8 @@ class Analyzer:
 
     def _unicode(self, text: str):
         mode, out, gap = self.spec.graphemes, [], 0
-        bounds = [m.start() for m in _WORD_BREAK.finditer(text)]
+        # Apostrophes join as full stops do; the library's rule for vowels behind them isn't Unicode's.
+        bounds = [m.start() for m in _WORD_BREAK.finditer(text.translate(_QUOTES))]
         if not bounds or bounds[0] != 0:
             bounds.insert(0, 0)
         if bounds[-1] != len(text):
@@ -185,13 +187,14 @@ _PLAIN = "^[\u0000-\u007f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*$"
 _TOKEN = rf"(?:[{_LETTERS}0-9_]|(?<=[{_LETTERS}])[.:'](?=[{_LETTERS}])|(?<=[0-9])[.,;'](?=[0-9]))+"
 
 
-def _latin_map(spec: AnalyzerSpec) -> tuple[str, str]:
+def _latin_map(spec: AnalyzerSpec) -> tuple[str, str, str]:
+    """Characters, what they fold to, and those that fold to several."""
     fold = Analyzer(spec).fold
     chars = [chr(c) for c in (*range(0xC0, 0x180),) if c not in (0xD7, 0xF7)]
     pairs = [(c, fold(c)) for c in chars]
-    pairs = [(c, f) for c, f in pairs if c != f]
-    assert all(len(f) == 1 for _, f in pairs)
-    return "".join(c for c, _ in pairs), "".join(f for _, f in pairs)
+    odd = "".join(c for c, f in pairs if len(f) != 1)
+    pairs = [(c, f) for c, f in pairs if c != f and len(f) == 1]
+    return "".join(c for c, _ in pairs), "".join(f for _, f in pairs), odd
 
 
 def token_column(text: Column, spec: AnalyzerSpec | None = None) -> Column:
@@ -207,7 +210,9 @@ def token_column(text: Column, spec: AnalyzerSpec | None = None) -> Column:
         return general(text)
     found = F.filter(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda t: t.rlike(rf"[{_LETTERS}0-9]"))
     plain = text.rlike(_PLAIN) & ~F.exists(found, lambda t: F.octet_length(t) > spec.max_token_bytes // 2)
-    chars, folded = _latin_map(spec)
+    chars, folded, odd = _latin_map(spec)
+    if odd:
+        plain = plain & ~text.rlike(f"[{odd}]")
     lowered = text if spec.case_folding == "preserve" else F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     ascii_text = F.lower(text) if spec.case_folding == "fold" else text
     clean = F.when(F.octet_length(text) == F.char_length(text), ascii_text).otherwise(F.translate(lowered, chars, folded) if chars else lowered)
