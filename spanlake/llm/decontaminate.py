@@ -6,7 +6,8 @@ template words of the corpus are hash-joined with those of the benchmark.  Windo
 at one alignment of a document with an item form a match; its slots must be
 consistent: where the item repeats a value the document repeats one, each item
 value standing for one document value.  So re-parameterised questions are caught,
-and texts that merely share a frame with unrelated fillings are not.
+and texts that merely share a frame with unrelated fillings are not.  Windows that
+are mostly slots have no frame to go by and are compared word for word.
 """
 
 from __future__ import annotations
@@ -36,17 +37,25 @@ def _is_slot(w: Column) -> Column:
     return F.substring(w, 1, 1).isin(NAME, UNIT, NUM)
 
 
+def _plain(w: Column) -> Column:
+    """A word in lower case without the mark."""
+    return F.lower(F.when(_is_slot(w), F.substr(w, F.lit(2))).otherwise(w))
+
+
 def windows(rows: DataFrame, window: int = 8, min_words: int = 5) -> DataFrame:
-    """rows: key columns and text -> key columns, pos, h, slots: windows with min_words words that aren't slots."""
+    """rows: key columns and text -> key columns, pos, h, slots: all windows; with fewer than min_words words that aren't slots, h is of the words themselves."""
     keys = [c for c in rows.columns if c != "text"]
     held = rows.select(*keys, tokens(F.col("text")).alias("t")).where(F.size("t") >= window)
-    coded = held.select(*keys, "t", F.transform("t", lambda w: F.when(_is_slot(w), F.xxhash64(F.substring(w, 1, 1))).otherwise(F.xxhash64(F.lower(w)))).alias("c"), F.exists("t", _is_slot).alias("any"))
+    coded = held.select(
+        *keys, "t", F.transform("t", lambda w: F.when(_is_slot(w), F.xxhash64(F.substring(w, 1, 1))).otherwise(F.xxhash64(F.lower(w)))).alias("c"), F.exists("t", _is_slot).alias("any")
+    )
     at = F.sequence(F.lit(0), F.size("c") - window)
     h = lambda i: F.xxhash64(*(F.get("c", i + k) for k in range(window)))
+    exact = lambda i: F.xxhash64(*(F.xxhash64(_plain(F.get("t", i + k))) for k in range(window)))
     plain = F.transform(at, lambda i: F.struct(i.alias("pos"), h(i).alias("h"), F.array().cast("array<string>").alias("slots")))
-    slotted = F.filter(
-        F.transform(at, lambda i: F.struct(i.alias("pos"), h(i).alias("h"), F.filter(F.slice("t", i + 1, window), _is_slot).alias("slots"))),
-        lambda x: F.size(x["slots"]) <= window - min_words,
+    slotted = F.transform(
+        F.transform(at, lambda i: F.struct(i.alias("pos"), F.filter(F.slice("t", i + 1, window), _is_slot).alias("slots"))),
+        lambda x: F.struct(x["pos"].alias("pos"), F.when(F.size(x["slots"]) <= window - min_words, h(x["pos"])).otherwise(exact(x["pos"])).alias("h"), x["slots"].alias("slots")),
     )
     return coded.select(*keys, F.explode(F.when(F.col("any"), slotted).otherwise(plain)).alias("x")).select(*keys, "x.pos", "x.h", "x.slots")
 
@@ -56,7 +65,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_wor
 
     item_share is the part of the item's words that lie in matched windows.  Null
     ids and texts match nothing; an item below window + min_windows - 1 words needs
-    all the windows it has, one below window words can't be found.  Repeated rows
+    all the windows it has, one below window words can't be found.  Windows with
+    more slots than window - min_words match with equal values only.  Repeated rows
     of a document or an item count once.
     """
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
@@ -67,8 +77,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_wor
     if theirs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         theirs = F.broadcast(theirs)
     ours = windows(docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL"), window, min_words)
-    hits = ours.join(theirs, "h").select(
-        "doc_id", "item_id", "words", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", F.arrays_zip(F.col("islots").alias("a"), F.col("slots").alias("b")).alias("slots")
+    pairs = F.arrays_zip(F.col("islots").alias("a"), F.col("slots").alias("b"))
+    hits = ours.join(theirs, "h").select(  # the same words can be marked on one side only: such a window says nothing about slots
+        "doc_id", "item_id", "words", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", F.when(F.size("islots") == F.size("slots"), pairs).otherwise(F.slice(pairs, 1, 0)).alias("slots")
     )
     group = hits.groupBy("doc_id", "item_id", "words", "shift").agg(
         F.sort_array(F.collect_set("ipos")).alias("at"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots")  # an item's windows at most, once a repeated row

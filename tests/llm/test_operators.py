@@ -142,6 +142,13 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.decontaminate(odd, bench.limit(0)).count() == len(ODD)
 
 
+def test_decontamination_of_slots(spark):
+    sums, names = "12 plus 34 minus 56 times 78 plus 90 equals what", "please greet Anna Bert Carla Dora Emil Frida Gustav Hanna Igor and Jana"
+    bench = spark.createDataFrame([(1, sums), (2, names)], "item_id long, text string")
+    rows = [(10, "asked: " + sums + " then"), (11, "now " + names), (12, sums.replace("34", "35").replace("78", "79")), (13, names.replace("Carla", "Cora").replace("Frida", "Fred").replace("Igor", "Ivan"))]
+    assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs(spark, rows), bench).collect()} == {(10, 1), (11, 2)}
+
+
 def test_decontamination_finds_every_whole_passage(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     b = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
