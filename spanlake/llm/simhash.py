@@ -11,6 +11,11 @@ Work is on distinct fingerprints.  A bucket yields a spanning forest of its link
 not its pairs; a bucket above `block` members is dealt out as pairs of blocks of
 about that size, so no task holds a bucket whole.  Components come from
 alternating large-star and small-star rounds over distributed tables.
+
+near_dedup also links texts whose sets of five-word shingles have a Jaccard
+similarity of 0.8 or more.  Texts that share one of 25 bands of 4 MinHash values
+are candidates (a pair at 0.8 is missed with a probability of 2 in a million), and
+within the components of candidates the similarity is that of the whole sets.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 from spanlake.llm.common import id_text, settle, table
 
 SEED = 42
+BANDS, BAND = 25, 4
 
 
 def fingerprint(data: bytes, words: int = 4) -> int:
@@ -162,8 +168,81 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def shingles(data: bytes, words: int = 5) -> np.ndarray:
+    """Sorted hashes of the different shingles of a text; one of fewer words is one shingle, one of none has none."""
+    parts = data.lower().split()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(b" ".join(parts[i:i + words]), SEED) for i in range(max(len(parts) - words + 1, min(len(parts), 1)))), np.uint64))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A signed hash of each band of MinHash values."""
+    r = np.random.default_rng(SEED)
+    by = r.integers(0, 1 << 63, (2, BANDS * BAND, 1), np.uint64)
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max)
+    for lo in range(0, len(hashes), 4096):
+        least = np.minimum(least, ((by[0] * 2 + 1) * hashes[lo:lo + 4096] + by[1]).min(axis=1))
+    return [signed(xxhash.xxh64_intdigest(least[k * BAND:(k + 1) * BAND].tobytes(), k)) for k in range(BANDS)]
+
+
+def set_forest(sets: list[np.ndarray], t: float) -> list[tuple[int, int]]:
+    """Spanning forest (places a, b) of the links of Jaccard similarity t or more."""
+    size, out, left = np.array([len(x) for x in sets]), [], np.arange(len(sets))
+    flat = None
+    while len(left) > 1:
+        todo, left, flat = [left[0]], left[1:], None
+        while todo and len(left):
+            a = todo.pop()
+            if flat is None:
+                flat, first = np.concatenate([sets[i] for i in left]), np.concatenate([[0], np.cumsum(size[left])[:-1]])
+            at = np.minimum(np.searchsorted(sets[a], flat), size[a] - 1)
+            shared = np.add.reduceat((sets[a][at] == flat).astype(np.int64), first)
+            near = shared >= t * (size[a] + size[left] - shared) - 1e-9
+            if near.any():
+                got, left, flat = left[near], left[~near], None
+                out += [(a, b) for b in got]
+                todo += list(got)
+    return out
+
+
+def similar(docs: DataFrame, words: int = 4, shingle: int = 5, t: float = 0.8, block: int = 2048) -> DataFrame:
+    """Links (u, v) of fingerprints that connect all texts whose sets of shingles have Jaccard similarity t or more."""
+    texts = docs.select("text").where("text IS NOT NULL")
+
+    def sketch(batches):
+        for batch in batches:
+            rows = []
+            for x in batch.column("text").cast(pa.binary()) if batch.num_rows else []:
+                data = x.as_py()
+                if parts := data.split():
+                    rows.append((signed(xxhash.xxh64_intdigest(b" ".join(parts).lower(), SEED)), signed(fingerprint(data, words)), bands(shingles(data, shingle))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["sig", "fp", "bands"])
+
+    def named(batches):
+        for batch in batches:
+            sigs = [signed(xxhash.xxh64_intdigest(b" ".join(x.as_py().split()).lower(), SEED)) for x in (batch.column("text").cast(pa.binary()) if batch.num_rows else [])]
+            yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.int64()), batch.column("text")], names=["sig", "text"])
+
+    def joined(group: pa.Table) -> pa.Table:
+        fp = group.column("fp").to_pylist()
+        found = set_forest([shingles(x.as_py(), shingle) for x in group.column("text").cast(pa.binary())], t)
+        return pa.table({"u": pa.array([fp[a] for a, _ in found], pa.int64()), "v": pa.array([fp[b] for _, b in found], pa.int64())})
+
+    made = settle(texts.mapInArrow(sketch, "sig long, fp long, bands array<long>"), "sketches")
+    rows = made.select("sig", F.explode("bands").alias("k"))
+    full = rows.groupBy("k").agg(F.min("sig").alias("top"), F.max("sig").alias("last")).where("top < last").drop("last")
+    roots = components(rows.join(full, "k").select(F.col("sig").alias("u"), F.col("top").alias("v"))).withColumnRenamed("u", "sig")
+    member = roots.unionByName(roots.select(F.col("root").alias("sig"), "root").distinct()).distinct().join(made.groupBy("sig").agg(F.min("fp").alias("fp")), "sig")
+    member = member.join(roots.groupBy("root").agg(F.ceil((F.count("*") + 1) / block).cast("int").alias("nb")), "root")
+    held = settle(texts.mapInArrow(named, "sig long, text string").join(member, "sig").dropDuplicates(["sig"]), "members")
+    own = F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int")
+    parts = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    parts = parts.select("root", "fp", "text", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"))
+    return parts.groupBy("root", "bi", "bj").applyInArrow(joined, "u long, v long").where("u <> v")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       words: int = 4, radius: int = 4, block: int = 4096) -> DataFrame:
+                       words: int = 4, radius: int = 4, block: int = 4096, more: DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id, kept.
 
     Texts are linked when their fingerprints differ in at most `radius` bits;
@@ -171,11 +250,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     marks it.  Null, empty and blank texts have fingerprint zero and are linked
     like any other; fewer words than a shingle give one shingle.  Rows that repeat
     give repeated rows; an empty table gives an empty result; further columns of
-    docs are ignored.
+    docs are ignored.  more: further links (u, v) of fingerprints.
     """
     prints = settle(fingerprints(docs, id_col, text_col, words), "prints")
     nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"), radius, block)).withColumnRenamed("u", "fp")
+    found = links(nodes.select("fp"), radius, block)
+    roots = components(found if more is None else found.unionByName(more)).withColumnRenamed("u", "fp")
     member = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = member.join(smallest, "root").select("fp", "component_id")
@@ -185,9 +265,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of docs (all columns) whose doc_id is its component's smallest; rows that share a doc_id stay or go together."""
-    kept = simhash_components(docs, words=words, radius=radius).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4, shingle: int = 5, t: float = 0.8) -> DataFrame:
+    """The rows of docs (all columns) whose doc_id is its component's smallest; rows that share a doc_id stay or go together.
+
+    Texts are linked by fingerprints within radius and by Jaccard similarity t or more.
+    """
+    kept = simhash_components(docs, words=words, radius=radius, more=similar(docs, words, shingle, t)).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
 
 

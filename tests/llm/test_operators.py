@@ -99,6 +99,27 @@ def test_simhash_components(spark, odd, none, block):
         assert simhash.near_dedup(none).columns == none.columns
 
 
+def test_near_dedup_reaches_similarity(spark):
+    r = random.Random(8)
+    rows = []
+    for g in range(8):
+        base = [f"w{r.randint(0, 5000)}" for _ in range(150)]
+        rows.append((g * 10, " ".join(base)))
+        for k in range(1, 4):
+            at = r.randint(5, 140)
+            rows.append((g * 10 + k, " ".join(base[:at] + [f"new{k}"] * (1 + 9 * (k == 3)) + base[at + 1:] + ["end"] * (30 * (k == 3)))))
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root = [root[b] if x == root[a] else x for x in root]
+    assert len(set(root)) < len(rows) - 10
+    kept = {x.doc_id for x in simhash.near_dedup(docs(spark, rows)).collect()}
+    strict = {x.doc_id for x in simhash.simhash_components(docs(spark, rows)).where("kept").collect()}
+    assert kept < strict and all(len({rows[k][0] for k in range(len(rows)) if root[k] == g} & kept) <= 1 for g in set(root))
+
+
 # ------------------------------------------------------------------ 3 line dedup
 def test_line_dedup(spark, odd, none):
     r = random.Random(2)
