@@ -60,14 +60,29 @@ def windows(rows: DataFrame, window: int = 8, min_words: int = 5) -> DataFrame:
     return coded.select(*keys, F.explode(F.when(F.col("any"), slotted).otherwise(plain)).alias("x")).select(*keys, "x.pos", "x.h", "x.slots")
 
 
+def _short(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """doc_id, item_id, n, share: documents that hold an item of fewer than window words, word for word."""
+    low = lambda rows, key: rows.select(key, F.transform(tokens(F.col("text")), _plain).alias("t"))
+    short = low(items, "item_id").where(F.size("t").between(1, window - 1)).select("item_id", F.size("t").alias("words"), F.xxhash64("t").alias("h"))
+    short = settle(short, "short")
+    lengths = sorted(r["words"] for r in short.select("words").distinct().collect())
+    runs = lambda k: F.transform(F.sequence(F.lit(0), F.size("t") - k), lambda i: F.xxhash64(F.slice("t", i + 1, k)))
+    of = [F.when(F.size("t") >= k, runs(k)).otherwise(F.array().cast("array<bigint>")) for k in lengths]
+    if not lengths:
+        return docs.select("doc_id").limit(0).join(short.limit(0), F.lit(True)).select("doc_id", "item_id", F.lit(1).alias("n"), F.lit(1.0).alias("share"))
+    ours = low(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), "doc_id").select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*of)))).alias("h"))
+    theirs = F.broadcast(short) if short.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else short
+    return ours.join(theirs, "h").select("doc_id", "item_id", F.lit(1).alias("n"), F.lit(1.0).alias("share"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_words: int = 5, min_windows: int = 3) -> DataFrame:
     """doc_id, item_id, n_windows, item_share: documents that hold min_windows windows of an item at one alignment.
 
     item_share is the part of the item's words that lie in matched windows.  Null
     ids and texts match nothing; an item below window + min_windows - 1 words needs
-    all the windows it has, one below window words can't be found.  Windows with
-    more slots than window - min_words match with equal values only.  Repeated rows
-    of a document or an item count once.
+    all the windows it has, one below window words is one window of its own length,
+    found word for word.  Windows with more slots than window - min_words match with
+    equal values only.  Repeated rows of a document or an item count once.
     """
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     theirs = settle(
@@ -89,10 +104,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_wor
         "at", F.struct(F.lit(-window).alias("last"), F.lit(0).alias("n")),
         lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.lit(window), p - s["last"])).alias("n")), lambda s: s["n"],
     )
-    return (
-        group.where(consistent & (F.size("at") >= F.least(F.lit(min_windows), F.col("words") - window + 1)))
-        .groupBy("doc_id", "item_id").agg(F.max(F.size("at")).alias("n_windows"), F.round(F.max(spread / F.col("words")), 4).alias("item_share"))
-    )
+    found = group.where(consistent & (F.size("at") >= F.least(F.lit(min_windows), F.col("words") - window + 1))).select("doc_id", "item_id", F.size("at").alias("n"), (spread / F.col("words")).alias("share"))
+    return found.unionByName(_short(docs, items, window)).groupBy("doc_id", "item_id").agg(F.max("n").alias("n_windows"), F.round(F.max("share"), 4).alias("item_share"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -170,6 +170,13 @@ def test_decontamination_of_slots(spark):
     assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(docs(spark, rows), bench).collect()} == {(10, 1), (11, 2)}
 
 
+def test_decontamination_of_short_items(spark):
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Add 3 and 4."), (3, "?"), (4, "a farmer sold apples and pears at the market in winter")], "item_id long, text string")
+    rows = [(10, "Asked What is the capital of France, he knew"), (11, "add 3 and 4"), (12, "What is the capital of Spain? Add 3 and 5"), (13, "capital"), (14, None)]
+    got = {(x.doc_id, x.item_id, x.n_windows, x.item_share) for x in decontaminate.contaminated(docs(spark, rows), bench).collect()}
+    assert got == {(10, 1, 1, 1.0), (11, 2, 1, 1.0)}
+
+
 def test_decontamination_finds_every_whole_passage(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     b = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
