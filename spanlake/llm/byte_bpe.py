@@ -13,17 +13,21 @@ import base64
 import hashlib
 import heapq
 import struct
+from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import id_text, table
+from spanlake.llm.common import id_text, parts_of, table
 
 _M = (1 << 64) - 1
+CACHE_BYTES = 24 << 20  # of pre-tokens a worker remembers
+CACHED = 64  # bytes; longer pre-tokens are rare and are not remembered
+PART = 50_000  # pre-tokens of a text that are held at once
+BATCH_TEXT, BATCH_ROWS = 4 << 20, 1_000  # characters and rows of one batch of results
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -87,10 +91,11 @@ class Codec:
         self.entries, self.pattern = entries, pattern
         self.hash = PerfectHash(entries)
         self.cache: dict[str, bytes] = {}
+        self.held = 0
         self.ready = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("pair", "byte_id")} | {"cache": {}, "ready": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pair", "byte_id")} | {"cache": {}, "held": 0, "ready": None}
 
     def start(self) -> None:
         if self.ready is None:
@@ -133,24 +138,42 @@ class Codec:
         ids = (i,) if i >= 0 and self.entries[i] == raw else self.merge(raw)
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if self.ready is None:
-            self.start()
-        tokens, cache = self.ready.findall(text), self.cache
+    def _ids(self, tokens: list[str]) -> bytes:
+        cache, strange = self.cache, {}
         try:
             return b"".join(map(cache.__getitem__, tokens))
         except KeyError:
             pass
-        if len(cache) > 700_000:  # bounds a worker's memory
+        if self.held > CACHE_BYTES:  # bounds a worker's memory
             cache.clear()
+            self.held = 0
         for t in set(tokens):
             if t not in cache:
-                cache[t] = self.pretoken(t)
-        return b"".join(map(cache.__getitem__, tokens))
+                ids = self.pretoken(t)
+                if len(t) > CACHED:
+                    strange[t] = ids
+                else:
+                    cache[t] = ids
+                    self.held += 150 + 2 * len(t) + len(ids)  # two objects and their place in the table
+        if not strange:
+            return b"".join(map(cache.__getitem__, tokens))
+        return b"".join(strange[t] if t in strange else cache[t] for t in tokens)
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers; PART pre-tokens of a long text are held at a time."""
+        if self.ready is None:
+            self.start()
+        if len(text) <= 4 * PART:
+            return self._ids(self.ready.findall(text))
+        found, out = (m[0] for m in self.ready.finditer(text)), []
+        while part := list(islice(found, PART)):
+            out.append(self._ids(part))
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.entries.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        at = np.frombuffer(ids, "<u4")
+        parts = (b"".join(map(self.entries.__getitem__, at[i:i + PART].tolist())) for i in range(0, len(at), PART))
+        return b"".join(parts)
 
 
 _worker: dict = {}
@@ -181,37 +204,41 @@ def bpe_encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         c = shared.value
         c = _worker.setdefault((len(c.entries), c.pattern, hash(tuple(c.entries[-50:]))), c)  # keeps its cache between tasks
         for batch in batches:
-            n, sha, back, ids = [], [], [], []
-            for text in batch.column("text"):
-                data = c.encode(text.as_py() or "")
-                n.append(len(data) // 4)
-                sha.append(hashlib.sha256(data).hexdigest())
-                back.append(hashlib.sha256(c.decode(data)).hexdigest())
-                ids.append(data)
-            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha), pa.array(back)]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype("<i4")
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                cols.append(pa.ListArray.from_arrays(pa.array(offsets), values))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays([pa.array([], x.type) if len(x) == 0 else x for x in cols], names=names)
+            for part in parts_of(batch, "text", BATCH_TEXT, BATCH_ROWS):
+                n, sha, back, ids = [], [], [], []
+                for text in part.column("text"):
+                    data = c.encode(text.as_py() or "")
+                    n.append(len(data) // 4)
+                    sha.append(hashlib.sha256(data).hexdigest())
+                    back.append(hashlib.sha256(c.decode(data)).hexdigest())
+                    if with_ids:
+                        ids.append(data)
+                cols = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    offsets = np.concatenate([[0], np.cumsum(n)]).astype("<i4")
+                    cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     kind = narrow.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return narrow.mapInArrow(run, out)
 
 
-def bpe_decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Adds column text: the decoded UTF-8 text (null ids: null; ids outside the vocabulary: error)."""
+def bpe_decode(encoded: DataFrame, ids_col: str = "ids", path: str | None = None, pattern: str | None = None, to_col: str = "text") -> DataFrame:
+    """Adds column to_col: the decoded UTF-8 text, in place of a column of that name (null ids: null; ids
+    outside the vocabulary: error; no ids: the empty text).  Other columns, repeated rows and their number stay."""
+    import pandas as pd
+
     shared = encoded.sparkSession.sparkContext.broadcast(codec(path, pattern))
 
-    @F.pandas_udf("string")
-    def back(ids: pd.Series) -> pd.Series:
+    def back(ids):
         c = shared.value
         return ids.map(lambda x: None if x is None else c.decode(np.asarray(x, "<u4").tobytes()).decode("utf-8", "replace"))
 
-    return encoded.withColumn("text", back(F.col(ids_col)))
+    back.__annotations__ = {"ids": pd.Series, "return": pd.Series}
+    return encoded.withColumn(to_col, F.pandas_udf(back, "string")(F.col(ids_col)))
 
 
 def op6_byte_bpe(spark, sf_dir):

@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,3 +70,14 @@ def bucket_of(id_col: str, k: int) -> Column:
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text, under fixed names: extra or clashing columns can't interfere."""
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def parts_of(batch, column: str, most: int, rows: int):
+    """Slices of an Arrow batch: of no more than `rows` rows, or `most` bytes of a text column but for single rows."""
+    ends = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).cumsum() if batch.num_rows else ()
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(ends.searchsorted(before + most, "right"))))
+        yield batch.slice(at, to - at)
+        at = to
