@@ -3,7 +3,8 @@
 Base spans come from three patterns.  The method adds spans: base64 and hex
 candidates are decoded and must hold a structure - a signed token's header and
 claims, a DER key with lengths that nest exactly, a wire-format public key, a
-PEM block whose body decodes to DER - before they are reported.
+PEM block whose body decodes to DER - before they are reported.  Candidates are tried
+at every place where such a structure can begin, not only at the start of a run.
 """
 
 from __future__ import annotations
@@ -35,8 +36,14 @@ HINT = re.compile(r"""[DdTtNnYy]["']?\x20*[:=]""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ARMOR = re.compile(r"-----BEGIN ([A-Z0-9 ]{2,40})-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-DOTTED = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{32,}={0,2}")
+DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+#: How base64 of a JSON object begins: a brace, then a quote or white space.
+OBJECT = re.compile(r"e(?:y[A-DI-L]|w[k-r0-3])")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{32,}")
+#: How base64 of a DER SEQUENCE or of a wire-format key begins; behind it at least 30 more of a run.
+KEY = re.compile(r"(?=(?:M[A-P]|AAAA)[A-Za-z0-9+/_-]{28})")
+BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+")
 HEXKEY = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){24,}(?![0-9A-Fa-f])")
 KINDS = ("assign", "access", "hex", "pem", "jwt", "der", "sshkey", "hexder")
 
@@ -96,14 +103,97 @@ def ssh_nests(data: bytes) -> bool:
     return len(parts) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", parts[0]) is not None
 
 
-def signed_token(s: str) -> bool:
-    """Whether s is header.claims.signature with JSON objects and an algorithm in the header."""
-    head, body, _ = s.split(".")
+def _object(s: str) -> dict | None:
+    raw = _b64(s)
     try:
-        h, b = json.loads(_b64(head) or b""), json.loads(_b64(body) or b"")
+        x = json.loads(raw) if raw else None
     except (ValueError, UnicodeDecodeError, RecursionError):
-        return False
-    return isinstance(h, dict) and isinstance(h.get("alg"), str) and isinstance(b, dict)
+        return None
+    return x if isinstance(x, dict) else None
+
+
+def signed_tokens(text: str) -> list[tuple[int, int]]:
+    """Spans of header.claims.signature with JSON objects and an algorithm in the header.
+
+    A header may begin inside a run of letters, and the three parts anywhere in a
+    run of dotted ones.  A start costs the decoding of a few characters unless it
+    looks like an object from its beginning to the end of its part.
+    """
+    out = []
+    for m in DOTTED.finditer(text):
+        if m.end() - m.start() < 12 or "." not in m[0] or not OBJECT.search(m[0]):
+            continue
+        parts, at, i = m[0].split("."), m.start(), 0
+        while i + 2 < len(parts):
+            head, claims, last = parts[i:i + 3]
+            start = next((x.start() for x in OBJECT.finditer(head) if len(head) - x.start() >= 8 and _looks_whole(head, x.start()) and isinstance((_object(head[x.start():]) or {}).get("alg"), str)), None)
+            if start is None or len(claims) < 2 or _object(claims) is None:
+                at, i = at + len(head) + 1, i + 1
+                continue
+            end = at + len(head) + len(claims) + len(last) + 2
+            out.append((at + start, end))
+            at, i = end + 1, i + 3
+    return out
+
+
+def _looks_whole(s: str, start: int) -> bool:
+    """Whether base64 from start on begins with a brace and a quote, and ends, at the end of s, with a brace."""
+    first, n = _b64(s[start:start + 24][:(len(s) - start) // 4 * 4 or 4]), len(s) - start
+    tail = _b64(s[len(s) - (n % 4 + 8 if n >= 12 else n):])
+    return first is not None and first.lstrip(b"{ \t\r\n")[:1] == b'"' and tail is not None and tail.rstrip()[-1:] == b"}"
+
+
+def _taken(text: str, start: int, n: int) -> tuple[str, int] | None:
+    """n characters of base64 from start on, line breaks left out, and where they and any padding end; None if the run is shorter or longer."""
+    parts, at = [], start
+    while n > 0:
+        run = RUN.match(text, at, at + n)
+        if run is None:
+            return None
+        parts.append(run[0])
+        n, at = n - len(run[0]), run.end()
+        if n:
+            gap = BREAK.match(text, at)
+            if gap is None:
+                return None
+            at = gap.end()
+    if RUN.match(text, at, at + 1) and text[at] not in "-_":
+        return None
+    for _ in range(2):
+        at += text[at:at + 1] == "="
+    return "".join(parts), at
+
+
+def key_spans(text: str) -> list[tuple[int, int, int]]:
+    """Spans of base64, standard or URL-safe, on one line or wrapped, that decodes to a DER structure or a wire-format public key.
+
+    A key may begin anywhere in a run.  A start costs the decoding of a few
+    characters, unless those are the head of a structure that ends where the run does.
+    """
+    out, free = [], 0
+    for m in BASE64.finditer(text):
+        for k in KEY.finditer(text, max(m.start(), free), m.end()):
+            start = k.start()
+            if start < free:
+                continue
+            head = _b64(text[start:start + 28])
+            if head is None:
+                continue
+            if head[0] == 0x30:
+                size = 2 + head[1] if head[1] < 0x80 else 2 + (head[1] & 0x7F) + int.from_bytes(head[2:2 + (head[1] & 0x7F)], "big") if 0x81 <= head[1] <= 0x84 else 0
+                if size < 24 or size > len(text):
+                    continue
+                kind, good = 5, der_nests
+            else:
+                if not re.match(rb"\0\0\0.(ssh|ecdsa|sk)-", head, re.S):
+                    continue
+                size, kind, good = (m.end() - start) * 3 // 4, 6, ssh_nests
+            got = _taken(text, start, -(-size * 4 // 3))
+            raw = _b64(got[0]) if got else None
+            if raw and good(raw):
+                out.append((start, kind, got[1]))
+                free = got[1]
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -124,14 +214,9 @@ def method_spans(text: str) -> list[tuple[int, int, int]]:
             raw = _b64("".join(m[2].split()))
             if raw and (der_nests(raw) or raw.startswith(b"openssh-key-v1\0")):
                 out.append((m.start(), 3, m.end()))
-    if "." in text and "ey" in text:
-        out += [(m.start(), 4, m.end()) for m in DOTTED.finditer(text) if m[0].startswith("ey") and signed_token(m[0])]
-    for m in BASE64.finditer(text):
-        raw = _b64(m[0])
-        if raw and raw[0] == 0x30 and der_nests(raw):
-            out.append((m.start(), 5, m.end()))
-        elif raw and raw[:1] == b"\0" and ssh_nests(raw):
-            out.append((m.start(), 6, m.end()))
+    if "." in text and OBJECT.search(text):
+        out += [(a, 4, b) for a, b in signed_tokens(text)]
+    out += key_spans(text)
     if "30" in text:
         out += [(m.start(), 7, m.end()) for m in HEXKEY.finditer(text) if m[0].startswith("30") and der_nests(bytes.fromhex(m[0]))]
     return sorted(out)
