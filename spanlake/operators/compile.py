@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.operators.spans import intervals, skeleton, window
+from spanlake.operators.spans import intervals, skeleton
 from spanlake.plans.parser import QueryError
-from spanlake.plans.query import NONE, check_fields, span_children, span_leaves
+from spanlake.plans.query import NONE, check_fields, prune, span_children, span_leaves
 from spanlake.sources.index import Index, bucket_of
 
 MAX_TERMS = 65_536
@@ -110,7 +110,7 @@ class _Plan:
                 for f in scope:
                     self.places.setdefault((leaf, f), f"p{len(self.places)}")
             self.uses_docs |= self._needs_length(q[1])
-        else:
+        elif kind != "none":
             self.flags.setdefault((q, scope), f"b{len(self.flags)}")
 
     def _needs_length(self, n: tuple) -> bool:
@@ -138,6 +138,8 @@ class _Plan:
             return reduce(operator.or_, (F.get("field_dl", F.lit(f)) > 0 for f in scope), F.lit(False))
         if kind == "span":
             return span(q[1], scope)
+        if kind == "none":
+            return F.lit(False)
         return F.coalesce(F.col(self.flags[(q, scope)]), F.lit(False))
 
     def without_words(self, q: tuple) -> bool:
@@ -288,7 +290,8 @@ class _Plan:
 def matching(index: Index, q: tuple) -> DataFrame:
     """doc_id of every live document that matches a lowered query."""
     check_fields(q, index.fields) if len(index.fields) > 1 else _no_fields(q)
-    if q == NONE:
+    q = prune(q)
+    if q in (NONE, ("none",)):
         return index.docs.select("doc_id").where(F.lit(False))
     return _Plan(index, q).run()
 
@@ -298,6 +301,3 @@ def _no_fields(q: tuple) -> None:
 
     if any(x[0] == "field" for x in walk(q)):
         raise QueryError("a field scope needs an index of several fields")
-
-
-__all__ = ["matching", "resolve", "select_postings", "term_condition", "window"]

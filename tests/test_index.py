@@ -121,3 +121,22 @@ def test_sql_functions(spark):
     S.register(spark)
     row = spark.sql("SELECT ql_matches('red apple', 'apple'), ql_highlight('red apple', '<b>', '</b>', 'apple'), ql_parse('a b'), ql_tokenize('A b'), ql_version()").first()
     assert tuple(row) == (True, "red <b>apple</b>", "AND(a, b)", ["a", "b"], S.VERSION)
+
+
+def test_spans_whose_words_are_analysed_away(spark, drinks):
+    a = drinks.analyzer
+    every = [i for i, _ in enumerate(DRINKS, 1)]
+    for query, want in (
+        ('"!!" IN FIRST 3 WORDS', []), ("(!!) WITHIN 3", []), ("* AND NOT ((!!) IN FIRST 3 WORDS)", every), ('("!!" IN FIRST 3 WORDS) OR beer', [1, 3, 4, 7]),
+        ("(beer NOT ENCLOSES (!!)) IN FIRST 1 WORDS", [3, 7]), ("(!! THEN/1 beer) OR wine", [1, 2, 6]), ("[!! beer] NEAR/3 craft", [1]), ("(AT LEAST 2 OF [!! beer craft]) WITHIN 3", [1]), ("beer BEFORE (!!)", []),
+    ):
+        assert found(drinks, query) == want, query
+        q = compile_query(query, a)
+        assert [i for i, t in enumerate(DRINKS, 1) if evaluate(q, Doc.of({"body": t}, a))] == want, query
+
+
+def test_expanding_spans_are_refused():
+    words = " ".join(f"w{i}" for i in range(24))
+    compile_query(f"(AT LEAST 23 OF [{words}]) WITHIN 3", Analyzer())
+    with pytest.raises(QueryError):
+        compile_query(f"((AT LEAST 3 OF [{words}]) NEAR/3 a) NEAR/4 (AT LEAST 4 OF [{' '.join(f'(AT LEAST 2 OF [a{i} b{i} c{i} d{i}])' for i in range(18))}])", Analyzer())
