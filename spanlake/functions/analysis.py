@@ -197,6 +197,25 @@ def _latin_map(spec: AnalyzerSpec) -> tuple[str, str, str]:
     return "".join(c for c, _ in pairs), "".join(f for _, f in pairs), odd
 
 
+def latin_words(text: Column, spec: AnalyzerSpec) -> Column | None:
+    """array<string>: the tokens of a text of ASCII and Latin letters, by built-in functions; None if the options need the general way."""
+    if spec.tokenizer != "unicode" or spec.graphemes == "retain":
+        return None
+    chars, folded, _ = _latin_map(spec)
+    lowered = text if spec.case_folding == "preserve" else F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    ascii_text = F.lower(text) if spec.case_folding == "fold" else text
+    clean = F.when(F.octet_length(text) == F.char_length(text), ascii_text).otherwise(F.translate(lowered, chars, folded) if chars else lowered)
+    found = F.regexp_extract_all(clean, F.lit(_TOKEN), F.lit(0))
+    return F.when(F.contains(text, F.lit("_")), F.filter(found, lambda t: t.rlike(rf"[{_LETTERS}0-9]"))).otherwise(found)
+
+
+def is_latin(text: Column, words: Column, spec: AnalyzerSpec) -> Column:
+    """Whether latin_words (given as words) are the tokens of a text: it has no other letters and no word that may be too long."""
+    odd = _latin_map(spec)[2]
+    plain = text.rlike(_PLAIN) & ~F.exists(words, lambda t: F.char_length(t) > spec.max_token_bytes // 4)
+    return plain & ~text.rlike(f"[{odd}]") if odd else plain
+
+
 def token_column(text: Column, spec: AnalyzerSpec | None = None) -> Column:
     """array<struct<text string, pos int>> of a text column; null where the text is."""
     spec = spec or AnalyzerSpec()
@@ -206,17 +225,10 @@ def token_column(text: Column, spec: AnalyzerSpec | None = None) -> Column:
     def general(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else [{"text": x.text, "pos": x.pos} for x in analyzer.tokens(t)])
 
-    if spec.tokenizer != "unicode" or spec.graphemes == "retain":
+    words = latin_words(text, spec)
+    if words is None:
         return general(text)
-    found = F.filter(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), lambda t: t.rlike(rf"[{_LETTERS}0-9]"))
-    plain = text.rlike(_PLAIN) & ~F.exists(found, lambda t: F.octet_length(t) > spec.max_token_bytes // 2)
-    chars, folded, odd = _latin_map(spec)
-    if odd:
-        plain = plain & ~text.rlike(f"[{odd}]")
-    lowered = text if spec.case_folding == "preserve" else F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    ascii_text = F.lower(text) if spec.case_folding == "fold" else text
-    clean = F.when(F.octet_length(text) == F.char_length(text), ascii_text).otherwise(F.translate(lowered, chars, folded) if chars else lowered)
-    words = F.filter(F.regexp_extract_all(clean, F.lit(_TOKEN), F.lit(0)), lambda t: t.rlike(rf"[{_LETTERS}0-9]"))
+    plain = is_latin(text, words, spec)
     native = F.transform(words, lambda t, i: F.struct(t.alias("text"), i.alias("pos")))
     return F.when(plain, native).otherwise(general(F.when(plain, F.lit(None).cast("string")).otherwise(text)))
 

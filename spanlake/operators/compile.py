@@ -238,33 +238,34 @@ class _Plan:
         return solved(dl, F.struct(*(self.places_of(leaf, f).alias(f"l{k}") for k, leaf in enumerate(leaves))))
 
     # ------------------------------------------------------------------- plan
-    def run(self) -> DataFrame:
+    def run(self, more_terms: list[str], more: dict[str, Column]) -> DataFrame:
+        """doc_id and, from the same pass over the postings of the query's words and more_terms, the aggregates in more."""
         index, every = self.index, tuple(self.fields)
         found, wide = resolve(index, self.leaves)
         whole = self.without_words(self.q)
         docs = index.docs.select("doc_id", "field_dl")
-        if not self.leaves:
+        if not self.leaves and not more:
             return docs.where(self.truth(self.q, every, None)).select("doc_id")
-        terms = sorted({t for ts in found.values() for t in ts})
+        terms = sorted({t for ts in found.values() for t in ts} | set(more_terms))
         many = len(terms) > FEW or wide
         if wide:
-            posts = index.postings.where(reduce(operator.or_, [term_condition(x, F.col("term")) for x in wide] + [F.col("term").isin(terms[:0])]) | F.col("term").isin(terms))
+            posts = index.postings.where(reduce(operator.or_, [term_condition(x, F.col("term")) for x in wide]) | F.col("term").isin(terms))
         else:
             posts = select_postings(index, terms)
         if many and not wide:
-            of: dict[str, list[int]] = {}
+            of: dict[str, list[int]] = {t: [] for t in terms}
             for k, leaf in enumerate(self.leaves):
                 for t in found[leaf]:
-                    of.setdefault(t, []).append(k)
+                    of[t].append(k)
             table = index.spark.createDataFrame(list(of.items()), "term string, ks array<int>")
-            posts = posts.join(F.broadcast(table), "term")
+            posts = posts.join(F.broadcast(table), "term")  # at most MAX_TERMS a leaf
             is_leaf = {leaf: F.array_contains("ks", k) for k, leaf in enumerate(self.leaves)}
         else:
             is_leaf = {leaf: term_condition(leaf, F.col("term")) if leaf in wide or leaf[0] == "term" else F.col("term").isin(found[leaf]) for leaf in self.leaves}
         inside = lambda fs: F.lit(True) if len(fs) == len(self.fields) else F.col("field").isin(list(fs))
         aggs = [F.max(is_leaf[leaf] & inside(scope)).alias(name) for (leaf, scope), name in self.flags.items()]
         aggs += [F.flatten(F.collect_list(F.when(is_leaf[leaf] & inside((f,)), F.col("positions")))).alias(name) for (leaf, f), name in self.places.items()]
-        rows = posts.groupBy("doc_id").agg(*aggs)
+        rows = posts.groupBy("doc_id").agg(*aggs, *(c.alias(name) for name, c in more.items()))
         if whole:
             rows = docs.join(rows, "doc_id", "left")
         elif self.uses_docs:
@@ -272,7 +273,7 @@ class _Plan:
             rows = rows.join(docs, "doc_id")
         if self.places and not self._negated_span(self.q):
             rows = rows.where(self.truth(self.q, every, self.rough))
-        return rows.where(self.truth(self.q, every, self.exact)).select("doc_id")
+        return rows.where(self.truth(self.q, every, self.exact)).select("doc_id", *more)
 
     def _scoped_all(self, q: tuple) -> bool:
         return any(self._scoped_all(x) for x in (q[1] if q[0] == "conj" else q[2] if q[0] == "disj" else [q[1]] if q[0] == "not" else [q[2]] if q[0] in ("boost", "field") else [])) or q == ("all",)
@@ -287,13 +288,13 @@ class _Plan:
         return any(self._negated_span(x, negated) for x in (q[1] if kind == "conj" else q[2] if kind == "disj" else [q[2]] if kind in ("boost", "field") else []))
 
 
-def matching(index: Index, q: tuple) -> DataFrame:
-    """doc_id of every live document that matches a lowered query."""
+def matching(index: Index, q: tuple, more_terms: list[str] | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """doc_id of every live document that matches a lowered query, and aggregates (more) over its postings of the query's words and more_terms."""
     check_fields(q, index.fields) if len(index.fields) > 1 else _no_fields(q)
     q = prune(q)
     if q in (NONE, ("none",)):
-        return index.docs.select("doc_id").where(F.lit(False))
-    return _Plan(index, q).run()
+        return index.postings.where(F.lit(False)).groupBy("doc_id").agg(*(c.alias(name) for name, c in more.items())) if more else index.docs.select("doc_id").where(F.lit(False))
+    return _Plan(index, q).run(more_terms or [], more or {})
 
 
 def _no_fields(q: tuple) -> None:

@@ -20,6 +20,7 @@ from spanlake.plans.query import compile_query, span_leaves
 from spanlake.sources.index import Index
 
 TF_STEPS = (1, 2, 3, 5, 10, 20, 41, 85, 177, 371, 777, 1626, 3405, 7132, 14938, 31288)
+FEW_SCORED = 64
 f32 = np.float32
 
 
@@ -122,17 +123,29 @@ def scoring_terms(index: Index, query: str, full: bool = False, dense_ratio: flo
     return w, df
 
 
-def scores(index: Index, query: str, full: bool = True, k1: float = 1.2, b: float = 0.75, matched: DataFrame | None = None, **edits) -> DataFrame:
+def scores(index: Index, query: str, full: bool = True, k1: float = 1.2, b: float = 0.75, **edits) -> DataFrame:
     """doc_id, score (float) of every document that matches; without scored terms the score is 0."""
     if not 0 <= k1 <= 10_000 or not 0 <= b <= 1:
         raise QueryError("k1 must be between 0 and 10000, b between 0 and 1")
     w, df = scoring_terms(index, query, full, **edits)
-    if matched is None:
-        matched = matching(index, compile_query(query, index.analyzer))
+    return _ranked(index, compile_query(query, index.analyzer), w, df, k1, b)
+
+
+def scores_of_all(index: Index, queries: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """doc_id, score of the documents that match all queries (clauses on one column), scored as one query of all their words."""
+    found = Weights()
+    for query in queries:
+        one, _ = scoring_terms(index, query, True)
+        for t, weight in one.terms.items():
+            found.add(t, weight, t in one.pinned, one.fields[t])
+    return _ranked(index, ("conj", [compile_query(q, index.analyzer) for q in queries]), found, frequencies(index, sorted(found.terms)), k1, b)
+
+
+def _ranked(index: Index, q: tuple, w: Weights, df: dict[str, int], k1: float, b: float) -> DataFrame:
     zero = F.lit(0.0).cast("float")
     used = sorted(t for t in w.terms if df.get(t, 0) > 0)
     if not used:
-        return matched.select("doc_id", zero.alias("score"))
+        return matching(index, q).select("doc_id", zero.alias("score"))
     n, total, by_field = index.totals
     weights = [f32(x) for x in index.weights]
     several = len(index.fields) > 1
@@ -145,8 +158,23 @@ def scores(index: Index, query: str, full: bool = True, k1: float = 1.2, b: floa
         avgdl = f32(f32(total) / f32(n)) if n else f32(1)
     k1, b = f32(k1), f32(b)
     lit = lambda x: F.lit(float(x)).cast("float")
-    table = index.spark.createDataFrame([(t, float(f32(idf(n, df[t]) * w.terms[t])), sorted(w.fields[t])) for t in used], "term string, mult float, scope array<int>")
-    rows = select_postings(index, used).select("term", "doc_id", "field", "tf").join(F.broadcast(table), "term")  # at most MAX_TERMS rows
+    add = lambda xs: F.coalesce(F.aggregate(xs, zero, lambda t, x: (t + x["s"]).cast("float")), zero)
+
+    def term_score(mult, tf, length):
+        numerator = mult * tf * lit(f32(k1 + f32(1)))
+        denominator = (tf + lit(f32(k1 * f32(f32(1) - b)))) + lit(f32(f32(k1 * b) / avgdl)) * length
+        return (numerator / denominator).cast("float")
+
+    mults = {t: float(f32(idf(n, df[t]) * w.terms[t])) for t in used}
+    if not several and len(used) <= FEW_SCORED:  # in the pass that matches: a posting has all that its score needs
+        mult = F.lit(None).cast("float")
+        for t in reversed(used):
+            mult = F.when(F.col("term") == t, lit(mults[t])).otherwise(mult)
+        one = F.when(F.col("term").isin(used), F.struct("term", term_score(mult, tf_representative(F.col("tf")), F.col("dl").cast("float")).alias("s")))
+        rows = matching(index, q, used, {"xs": F.sort_array(F.collect_list(one))})  # a document's scoring terms
+        return rows.select("doc_id", add("xs").alias("score"))
+    table = index.spark.createDataFrame([(t, mults[t], sorted(w.fields[t])) for t in used], "term string, mult float, scope array<int>")
+    rows = select_postings(index, used).select("term", "doc_id", "field", "tf", "dl").join(F.broadcast(table), "term")  # at most MAX_TERMS rows
     if several:
         own = F.array(*map(lit, weights))
         rows = rows.where(F.array_contains("scope", F.col("field"))).groupBy("term", "doc_id", "mult").agg(
@@ -155,16 +183,12 @@ def scores(index: Index, query: str, full: bool = True, k1: float = 1.2, b: floa
         length = zero
         for i, x in enumerate(weights):
             length = (length + (lit(x) * F.get("field_dl", F.lit(i)).cast("float")).cast("float")).cast("float")
+        rows = rows.join(index.docs.select("doc_id", length.alias("len")), "doc_id")
     else:
-        rows = rows.select("term", "doc_id", "mult", tf_representative(F.col("tf")).alias("tf"))
-        length = F.col("dl").cast("float")
-    rows = rows.join(index.docs.select("doc_id", length.alias("len")), "doc_id")
-    numerator = F.col("mult") * F.col("tf") * lit(f32(k1 + f32(1)))
-    denominator = (F.col("tf") + lit(f32(k1 * f32(f32(1) - b)))) + lit(f32(f32(k1 * b) / avgdl)) * F.col("len")
-    parts = rows.select("doc_id", "term", (numerator / denominator).cast("float").alias("s"))
+        rows = rows.select("term", "doc_id", "mult", tf_representative(F.col("tf")).alias("tf"), F.col("dl").cast("float").alias("len"))
+    parts = rows.select("doc_id", "term", term_score(F.col("mult"), F.col("tf"), F.col("len")).alias("s"))
     sums = parts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("term", "s"))).alias("xs"))  # a document's scoring terms
-    sums = sums.select("doc_id", F.aggregate("xs", zero, lambda t, x: (t + x["s"]).cast("float")).alias("score"))
-    return matched.join(sums, "doc_id", "left").select("doc_id", F.coalesce("score", zero).alias("score"))
+    return matching(index, q).join(sums.select("doc_id", add("xs").alias("score")), "doc_id", "left").select("doc_id", F.coalesce("score", zero).alias("score"))
 
 
 def inspect(index: Index, query: str, **edits) -> DataFrame:

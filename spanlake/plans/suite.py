@@ -444,7 +444,7 @@ def q_streaming(spark, sf_dir):
     docs.repartition(3).write.parquet(f"{at}/in")
     index = Index.build(docs.limit(0), "text", path=f"{at}/index")
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
-    maintain(stream, index.path, f"{at}/log", compact_every=3).awaitTermination()
+    maintain(stream, index.path, f"{at}/log", fan=3).awaitTermination()
     return S.match(Index.open(spark, index.path), "idiot")
 
 

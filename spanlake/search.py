@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import uuid
 from functools import reduce
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlake.functions.analysis import Analyzer, AnalyzerSpec, builtin_stop_words, token_column
@@ -17,6 +19,7 @@ from spanlake.operators.compile import matching
 from spanlake.plans.parser import QueryError, maybe_quote
 from spanlake.plans.query import compile_query, ql_parse
 from spanlake.sources.index import Index
+from spanlake.sources.scratch import shared_dir
 
 VERSION = "0.1.0"
 
@@ -26,8 +29,8 @@ def match(index: Index, *queries: str | None) -> DataFrame:
     """doc_id of the documents that match all queries (several clauses: AND); a null query matches none."""
     if any(q is None for q in queries):
         return index.docs.select("doc_id").where(F.lit(False))
-    out = [matching(index, compile_query(q, index.analyzer)) for q in queries]
-    return reduce(lambda a, b: a.join(b, "doc_id", "left_semi"), out)
+    parts = [compile_query(q, index.analyzer) for q in queries]
+    return matching(index, parts[0] if len(parts) == 1 else ("conj", parts))
 
 
 def match_any(index: Index, queries: list[str | None] | None) -> DataFrame:
@@ -80,6 +83,11 @@ def scores(index: Index, query: str, **options) -> DataFrame:
     return _score.scores(index, query, full=False, **options)
 
 
+def clause_scores(index: Index, *queries: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """Several clauses on one column: the documents that match all, scored as one query of all their words."""
+    return _score.scores_of_all(index, list(queries), k1, b)
+
+
 def full_scores(index: Index, query: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """full_score(): every query term counts."""
     return _score.scores(index, query, full=True, k1=k1, b=b)
@@ -101,20 +109,21 @@ def multi_column_scores(parts: list[tuple[Index, str]]) -> DataFrame:
     return out.select("doc_id", total.alias("score"))
 
 
-def top_k_per(outer: DataFrame, index: Index, query_col: str, k: int, key_cols: list[str]) -> DataFrame:
-    """For every row of outer the k best documents of its query: the distinct queries are planned once each."""
-    from pyspark.sql import Window
+def top_k_per(outer: DataFrame, index: Index, query_col: str, k: int, key_cols: list[str], block: int = 100) -> DataFrame:
+    """For every row of outer the k best documents of its query: each different query is planned once, `block` of them in a job.
 
-    queries = [r[0] for r in outer.select(query_col).where(F.col(query_col).isNotNull()).distinct().limit(1001).collect()]
-    if len(queries) > 1000:
-        raise QueryError("more than 1000 different queries")
-    found = [full_scores(index, q).select(F.lit(q).alias(query_col), "doc_id", "score") for q in sorted(queries)]
-    if not found:
+    Results of the blocks, k rows a query, go to the shared folder.
+    """
+    path, made = f"{shared_dir(index.spark)}/topk-{uuid.uuid4().hex}", False
+    queries = (r[0] for r in outer.select(query_col).where(F.col(query_col).isNotNull()).distinct().toLocalIterator())
+    while part := sorted(islice(queries, block)):
+        best = [search(index, q, limit=k, snippet="none").select(F.lit(q).alias(query_col), "doc_id", "score") for q in part]
+        reduce(DataFrame.unionByName, best).write.mode("append").parquet(path)
+        made = True
+    if not made:
         return outer.select(*key_cols).limit(0).select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("float").alias("score"), F.lit(0).alias("rank"))
-    rows = reduce(DataFrame.unionByName, found)
-    rank = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("score"), "doc_id"))
-    best = rows.withColumn("rank", rank).where(F.col("rank") <= k)
-    return outer.select(query_col, *key_cols).join(best, query_col).select(*key_cols, "doc_id", "score", "rank")
+    rank = F.row_number().over(Window.partitionBy(query_col).orderBy(F.desc("score"), "doc_id"))  # k rows each
+    return outer.select(query_col, *key_cols).join(index.spark.read.parquet(path).withColumn("rank", rank), query_col).select(*key_cols, "doc_id", "score", "rank")
 
 
 # ------------------------------------------------------------------ highlights

@@ -1,38 +1,83 @@
 """The inverted index: Parquet tables under one folder, one generation per write.
 
-  postings  gen, bucket | term, doc_id, field, positions, tf    sorted by term
+  postings  gen, bucket | term, doc_id, field, positions, tf, dl   sorted by term
   terms     gen | term, df, max_tf          (df: distinct documents over fields)
-  docs      gen | doc_id, dl, field_dl      (documents with tokens only)
   stats     gen | n_docs, total_length, field_totals
   dead      gen | doc_id, upto              (dead in generations up to `upto`)
   meta      one row of JSON: analyzer, fields, weights, buckets
 
 `bucket` is a hash of the term: a lookup of exact terms prunes to their folders and,
 inside, to row groups by the sort.  A frequent term's postings are dealt over
-`spread` files by document, so no task or file holds a hot term alone.
+`spread` files by document, so no task or file holds a hot term alone.  A posting
+has its document's length, so ranking reads nothing else.  Bucket -1 has a row per
+document with tokens: tf is its length, positions are the lengths of its fields.
+
+A document's tokens are grouped by term where it is read; one exchange, to as many
+partitions as the input needs, then brings the postings to their files.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from spanlake.functions.analysis import Analyzer, AnalyzerSpec, token_column
+from spanlake import ship
+from spanlake.functions.analysis import Analyzer, AnalyzerSpec, is_latin, latin_words, token_column
 from spanlake.plans.parser import QueryError
 from spanlake.sources.scratch import shared_dir
 
-POSTINGS = "term string, doc_id {id}, field int, positions array<int>, tf int, gen int, bucket int"
+POSTINGS = "term string, doc_id {id}, field int, positions array<int>, tf int, dl int, gen int, bucket int"
 TERMS = "term string, df long, max_tf int, gen int"
-DOCS = "doc_id {id}, dl int, field_dl array<int>, gen int"
+FILE_BYTES = 32 << 20  # of input for one file of postings
+MOST_FILES = 65_536
+ANALYSIS = 1  # goes up when the same options give other tokens
 STATS = "n_docs long, total_length long, field_totals array<long>, gen int"
 DEAD = "doc_id {id}, upto int, gen int"
 
 
+def _grouped(n_fields: int, spec: AnalyzerSpec):
+    """Arrow function: doc_id and, by field, native tokens w or, where those don't apply, the text t -> rows of postings and of documents."""
+    def run(batches):
+        analyzer = Analyzer(spec)
+        for batch in batches:
+            n, parts = batch.num_rows, []
+            lengths = np.zeros((n_fields, n), np.int64)
+            for f in range(n_fields):
+                words, texts = batch.column(f"w{f}"), batch.column(f"t{f}")
+                size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+                row, term = pc.list_parent_indices(words).to_numpy(zero_copy_only=False).astype(np.int64), pc.list_flatten(words)
+                pos = np.arange(len(row)) - np.repeat(size.cumsum() - size, size)
+                more = [(i, x.text, x.pos) for i in np.flatnonzero(pc.is_valid(texts).to_numpy(zero_copy_only=False)) for x in analyzer.tokens(texts[int(i)].as_py())]
+                row = np.concatenate([row, np.array([x[0] for x in more], np.int64)])
+                pos = np.concatenate([pos, np.array([x[2] for x in more], np.int64)])
+                term = pa.concat_arrays([term.cast(pa.string()), pa.array([x[1] for x in more], pa.string())])
+                lengths[f] = np.bincount(row, minlength=n)
+                table = pa.table({"row": row, "term": term, "pos": pa.array(pos, pa.int32())})
+                parts.append(table.group_by(["row", "term"], use_threads=False).aggregate([("pos", "list")]))
+            total = lengths.sum(axis=0)
+            for f, t in enumerate(parts):
+                row = t.column("row").to_numpy()
+                yield from pa.table({
+                    "term": t.column("term"), "doc_id": batch.column("doc_id").take(pa.array(row)), "field": pa.repeat(pa.scalar(f, pa.int32()), len(t)), "positions": t.column("pos_list"),
+                    "tf": pc.cast(pc.list_value_length(t.column("pos_list")), pa.int32()), "dl": pa.array(total[row].astype(np.int32)),
+                }).to_batches()
+            held = np.flatnonzero(total)
+            own = pa.ListArray.from_arrays(pa.array(np.arange(len(held) + 1, dtype=np.int32) * n_fields), pa.array(lengths[:, held].T.ravel().astype(np.int32)))
+            size = pa.array(total[held].astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar("", pa.string()), len(held)), batch.column("doc_id").take(pa.array(held)), pa.repeat(pa.scalar(-1, pa.int32()), len(held)), own, size, size], names=["term", "doc_id", "field", "positions", "tf", "dl"])
+
+    return run
+
+
 def bucket_of(term: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
@@ -49,10 +94,11 @@ class Index:
     # ---------------------------------------------------------------- writing
     @classmethod
     def build(cls, df: DataFrame, fields: list[str] | str, id_col: str = "doc_id", path: str | None = None, spec: AnalyzerSpec | None = None,
-              weights: dict[str, float] | None = None, buckets: int = 16, spread: int = 4) -> Index:
+              weights: dict[str, float] | None = None, buckets: int | None = None, spread: int = 4) -> Index:
         """Index the text columns `fields` (1 to 16) of df; id_col identifies rows.
 
         Null and empty documents are left out.  Null ids are refused by verify().
+        buckets * spread files are written; by default one for each 32 MB of df.
         """
         fields = [fields] if isinstance(fields, str) else list(fields)
         if not 1 <= len(fields) <= 16:
@@ -63,52 +109,56 @@ class Index:
         if any(not 0 < w < float("inf") for w in weights.values()):
             raise QueryError("field weights must be positive")
         spark = df.sparkSession
+        ship(spark)
         path = path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+        if buckets is None:
+            size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            buckets = max(2, -(-min(size // FILE_BYTES, MOST_FILES) // spread))
         meta = {
-            "analyzer": (spec or AnalyzerSpec()).to_dict(), "fields": fields, "weights": [float(weights.get(f, 1.0)) for f in fields],
+            "analyzer": (spec or AnalyzerSpec()).to_dict(), "analysis": ANALYSIS, "fields": fields, "weights": [float(weights.get(f, 1.0)) for f in fields],
             "buckets": buckets, "spread": spread, "id": df.schema[id_col].dataType.simpleString(), "gens": [],
         }
         return cls(spark, path, meta)._write(df, id_col, 0, [])
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Index:
-        rows = spark.read.schema("version int, json string").parquet(f"{path.rstrip('/')}/meta").orderBy(F.desc("version")).limit(1).collect()
+        ship(spark)
+        rows = spark.read.schema("json string, version int").parquet(f"{path.rstrip('/')}/meta").orderBy(F.desc("version")).limit(1).collect()
         return cls(spark, path, json.loads(rows[0]["json"]))
 
     def _save_meta(self, **change) -> Index:
+        """The next version; of two writers that started from one version the second fails here."""
         meta = self.meta | change
         meta["version"] = self.meta.get("version", 0) + 1
-        self.spark.range(1).select(F.lit(meta["version"]).cast("int").alias("version"), F.lit(json.dumps(meta)).alias("json")).coalesce(1).write.mode("append").parquet(f"{self.path}/meta")
+        self.spark.range(1).select(F.lit(json.dumps(meta)).alias("json")).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/meta/version={meta['version']}")
         return Index(self.spark, self.path, meta)
 
     def _write(self, df: DataFrame, id_col: str, gen: int, gens: list[int]) -> Index:
-        m = self.meta
-        spec = self.analyzer.spec
-        tokens = df.select(F.col(id_col).alias("doc_id"), *(token_column(F.col(f), spec).alias(f"f{i}") for i, f in enumerate(self.fields)))
-        def tagged(i: int) -> Column:
-            found = F.coalesce(F.col(f"f{i}"), F.array().cast("array<struct<text:string,pos:int>>"))
-            return F.transform(found, lambda t: F.struct(t["text"].alias("term"), F.lit(i).alias("field"), t["pos"].alias("pos")))
-
-        flat = F.flatten(F.array(*map(tagged, range(len(self.fields)))))
-        held = tokens.select("doc_id", F.explode(flat).alias("t")).select("doc_id", "t.term", "t.field", "t.pos")
-        rows = (
-            held.withColumn("bucket", bucket_of(F.col("term"), m["buckets"])).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(m["spread"])).cast("int"))
-            .repartition(m["buckets"] * m["spread"], "bucket", "part")
-            .groupBy("bucket", "part", "term", "doc_id", "field").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
-            .select("term", "doc_id", "field", "positions", F.size("positions").alias("tf"), "bucket", "part")
-        )
-        at = f"gen={gen}"
-        rows.sortWithinPartitions("bucket", "term", "doc_id", "field").drop("part").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/postings/{at}")
-        postings = self._read("postings", POSTINGS, [gen])
-        postings.groupBy("term").agg(F.count_distinct("doc_id").alias("df") if len(self.fields) > 1 else F.count("*").alias("df"), F.max("tf").alias("max_tf")) \
-            .sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/terms/{at}")
-        length = [F.coalesce(F.sum(F.when(F.col("field") == i, F.col("tf"))), F.lit(0)).cast("int") for i in range(len(self.fields))]
-        docs = postings.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("dl"), F.array(*length).alias("field_dl"))
-        docs.write.mode("overwrite").parquet(f"{self.path}/docs/{at}")
+        spec, own = self.analyzer.spec, range(len(self.fields))
+        rows = df.select(F.col(id_col).alias("doc_id"), *(F.col(f).alias(f"x{i}") for i, f in enumerate(self.fields)))
+        none = F.lit(None).cast("array<string>")
+        native = [latin_words(F.col(f"x{i}"), spec) for i in own]
+        rows = rows.select("*", *((none if w is None else w).alias(f"w{i}") for i, w in enumerate(native)))
+        plain = [F.lit(False) if native[i] is None else is_latin(F.col(f"x{i}"), F.col(f"w{i}"), spec) for i in own]
+        rows = rows.select("doc_id", *(F.when(plain[i], F.col(f"w{i}")).alias(f"w{i}") for i in own), *(F.when(~plain[i], F.col(f"x{i}")).alias(f"t{i}") for i in own))
+        schema = "term string, doc_id {id}, field int, positions array<int>, tf int, dl int".format(id=self.meta["id"])
+        posts = rows.mapInArrow(_grouped(len(self.fields), spec), schema)
+        bucket = F.when(F.col("field") < 0, F.lit(-1)).otherwise(bucket_of(F.col("term"), self.meta["buckets"]))
+        return self._lay(posts.withColumn("bucket", bucket), gen)._save_meta(gens=[*gens, gen], next=gen + 1)
+
+    def _lay(self, posts: DataFrame, gen: int) -> Index:
+        """Write rows of postings and documents as a generation, each file by one task, then its dictionary and totals."""
+        m, at = self.meta, f"gen={gen}"
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(m["spread"])).cast("int")
+        place = F.when(F.col("bucket") < 0, F.lit(m["buckets"])).otherwise(F.col("bucket")) * m["spread"] + part
+        laid = posts.select("term", "doc_id", "field", "positions", "tf", "dl", "bucket", place.alias("place")).repartitionById((m["buckets"] + 1) * m["spread"], "place").drop("place")
+        laid.sortWithinPartitions("bucket", "term", "doc_id", "field").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/postings/{at}")
+        df = F.count_distinct("doc_id") if len(self.fields) > 1 else F.count("*")
+        self._postings([gen]).groupBy("term").agg(df.alias("df"), F.max("tf").alias("max_tf")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/terms/{at}")
         totals = [F.coalesce(F.sum(F.get("field_dl", F.lit(i)).cast("long")), F.lit(0).cast("long")) for i in range(len(self.fields))]
-        self._read("docs", DOCS, [gen]).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.col("dl").cast("long")), F.lit(0).cast("long")).alias("total_length"), F.array(*totals).alias("field_totals")) \
+        self._docs([gen]).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.col("dl").cast("long")), F.lit(0).cast("long")).alias("total_length"), F.array(*totals).alias("field_totals")) \
             .coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats/{at}")
-        return self._save_meta(gens=[*gens, gen], next=gen + 1)
+        return self
 
     def append(self, df: DataFrame, id_col: str = "doc_id") -> Index:
         """Index more rows as a generation of their own, searchable at once."""
@@ -124,20 +174,31 @@ class Index:
         """New versions of documents: the old ones die, the new ones are appended."""
         return self.delete(df.select(id_col), id_col).append(df, id_col)
 
+    def _merged(self, gens: list[int]) -> Index:
+        """Those generations' live rows as one generation; the others stay as they are."""
+        gen, left = self.meta["next"], [g for g in self.meta["gens"] if g not in gens]
+        self._lay(self._live(self._read("postings", POSTINGS, gens)), gen)
+        return self._save_meta(gens=[*left, gen], dead=self.meta.get("dead", []) if left else [], next=gen + 1)
+
     def compact(self) -> Index:
         """Rewrite all live postings as one generation and forget the dead."""
-        gen, m = self.meta["next"], self.meta
-        at = f"gen={gen}"
-        self.postings.drop("gen").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(m["spread"])).cast("int")) \
-            .repartition(m["buckets"] * m["spread"], "bucket", "part").sortWithinPartitions("bucket", "term", "doc_id", "field").drop("part") \
-            .write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/postings/{at}")
-        only = self._read("postings", POSTINGS, [gen])
-        only.groupBy("term").agg(F.count_distinct("doc_id").alias("df"), F.max("tf").alias("max_tf")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/terms/{at}")
-        self.docs.drop("gen").write.mode("overwrite").parquet(f"{self.path}/docs/{at}")
-        totals = [F.coalesce(F.sum(F.get("field_dl", F.lit(i)).cast("long")), F.lit(0).cast("long")) for i in range(len(self.fields))]
-        self._read("docs", DOCS, [gen]).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.col("dl").cast("long")), F.lit(0).cast("long")).alias("total_length"), F.array(*totals).alias("field_totals")) \
-            .coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats/{at}")
-        return self._save_meta(gens=[gen], dead=[], next=gen + 1)
+        return self._merged(self.meta["gens"])
+
+    def merge(self, fan: int = 8) -> Index:
+        """Tiered merge: wherever fan generations are of about one size, by powers of fan, they become one.
+
+        A posting is rewritten once a tier, so the work grows with the logarithm of the index's size.
+        """
+        index = self
+        while True:
+            sizes = {r["gen"]: r["n_docs"] for r in index._read("stats", STATS, index.meta["gens"]).select("gen", "n_docs").collect()}  # a row a generation
+            tiers: dict[int, list[int]] = {}
+            for g in index.meta["gens"]:
+                tiers.setdefault(int(math.log(max(1, sizes.get(g, 0)), fan) + 1e-9), []).append(g)
+            full = next((t for _, t in sorted(tiers.items()) if len(t) >= fan), None)
+            if full is None:
+                return index
+            index = index._merged(full)
 
     # ---------------------------------------------------------------- reading
     def _read(self, name: str, schema: str, gens: list[int]) -> DataFrame:
@@ -146,6 +207,12 @@ class Index:
             return self.spark.createDataFrame([], full)
         return self.spark.read.schema(full).option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{name}/gen={g}" for g in gens))
 
+    def _postings(self, gens: list[int]) -> DataFrame:
+        return self._read("postings", POSTINGS, gens).where("bucket >= 0")
+
+    def _docs(self, gens: list[int]) -> DataFrame:
+        return self._read("postings", POSTINGS, gens).where("bucket = -1").select("doc_id", "dl", F.col("positions").alias("field_dl"), "gen")
+
     @cached_property
     def dead(self) -> DataFrame | None:
         gens = self.meta.get("dead") or []
@@ -159,11 +226,11 @@ class Index:
 
     @cached_property
     def postings(self) -> DataFrame:
-        return self._live(self._read("postings", POSTINGS, self.meta["gens"]))
+        return self._live(self._postings(self.meta["gens"]))
 
     @cached_property
     def docs(self) -> DataFrame:
-        return self._live(self._read("docs", DOCS, self.meta["gens"]))
+        return self._live(self._docs(self.meta["gens"]))
 
     @cached_property
     def terms(self) -> DataFrame:
@@ -183,10 +250,10 @@ class Index:
     def segment_info(self) -> DataFrame:
         """One row per generation: documents, dead documents, terms, postings, tokens."""
         gens = self.meta["gens"]
-        docs = self._read("docs", DOCS, gens)
+        docs = self._docs(gens)
         alive = self._live(docs).groupBy("gen").agg(F.count("*").alias("live"))
         terms = self._read("terms", TERMS, gens).groupBy("gen").agg(F.count("*").alias("n_terms"), F.max("max_tf").alias("max_tf"))
-        posts = self._read("postings", POSTINGS, gens).groupBy("gen").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens"))
+        posts = self._postings(gens).groupBy("gen").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("n_tokens"))
         return (
             docs.groupBy("gen").agg(F.count("*").alias("n_docs"), F.min("dl").alias("min_length"), F.max("dl").alias("max_length"))
             .join(alive, "gen", "left").join(terms, "gen").join(posts, "gen")
@@ -208,11 +275,12 @@ class Index:
             F.when(share > 0.2, "compact: many dead").when(F.col("generations") > 8, "compact: many generations").otherwise("ok").alias("health"),
         )
 
-    def index_analysis(self) -> DataFrame:
-        """The stored analysis options beside those of this library, and whether tokens would differ."""
-        now = {k: getattr(AnalyzerSpec(**{k: v for k, v in self.meta["analyzer"].items() if k in AnalyzerSpec.__dataclass_fields__}), k) for k in AnalyzerSpec.__dataclass_fields__}
-        rows = [(k, str(v), str(now.get(k)), str(v) != str(now.get(k))) for k, v in self.meta["analyzer"].items()]
-        return self.spark.createDataFrame(rows, "option string, stored string, runtime string, drifted boolean")
+    def index_analysis(self, spec: AnalyzerSpec | None = None) -> DataFrame:
+        """The stored analysis options beside those of spec (by default this library's own), the analysis version, and whether tokens would differ."""
+        stored, now = self.meta["analyzer"] | {"analysis_version": self.meta.get("analysis", 0)}, (spec or AnalyzerSpec()).to_dict() | {"analysis_version": ANALYSIS}
+        names = dict.fromkeys([*stored, *now])
+        rows = [(k, str(stored.get(k, "absent")), str(now.get(k, "absent")), stored.get(k) != now.get(k), "rebuild" if stored.get(k) != now.get(k) else "none") for k in names]
+        return self.spark.createDataFrame(rows, "option string, stored string, runtime string, drifted boolean, action string")
 
     def verify(self, source: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
         """severity, location, message of every inconsistency; with source, against the rows themselves."""
