@@ -52,7 +52,15 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(*settled: DataFrame) -> None:
+    """Remove settled tables that no plan still to be run reads."""
+    for df in settled:
+        _remove(df.sparkSession, df.settled_at)
 
 
 def fold_case(text: Column) -> Column:
@@ -81,3 +89,19 @@ def parts_of(batch, column: str, most: int, rows: int):
         to = min(at + rows, max(at + 1, int(ends.searchsorted(before + most, "right"))))
         yield batch.slice(at, to - at)
         at = to
+
+
+def look_up(rows: DataFrame, right: DataFrame, keys: list[str], size: str, total: int | None = None, most: int = 20_000) -> DataFrame:
+    """Inner join of rows with right, which has a row per key and, in column size, how many of rows have it.
+
+    Keys that more than a most-th of all rows have, fewer than most of them by that,
+    are broadcast, so their rows stay where they are; the rest is joined by a shuffle
+    in which no key is large.  right should be a settled table: it is read twice.
+    """
+    if total is None:
+        total = right.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) > max(1, total // most)
+    large = right.where(hot)
+    if large.isEmpty():
+        return rows.join(right, keys)
+    return rows.join(F.broadcast(large), keys).unionByName(rows.join(F.broadcast(large.select(*keys)), keys, "left_anti").join(right.where(~hot), keys))
