@@ -8,8 +8,9 @@ those positions have a nonzero solution v, so the pair agrees on the whole mask
 of that table: no pair within the radius is missed.
 
 Work is on distinct fingerprints.  A bucket yields a spanning forest of its links,
-not its pairs; a bucket above `block` members is dealt out as pairs of blocks of
-about that size, so no task holds a bucket whole.  Components come from
+not its pairs; one above `block` members is bucketed again by finer masks, and what
+is still above is dealt out as pairs of blocks of about that size, so no task holds
+a bucket whole.  Components come from
 alternating large-star and small-star rounds over distributed tables.
 
 near_dedup also links texts whose sets of five-word shingles have a Jaccard
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import id_text, settle, table
+from spanlake.llm.common import id_text, look_up, release, settle, table
 
 SEED = 42
 BANDS, BAND = 25, 4
@@ -77,6 +78,12 @@ def covering_masks(radius: int, bits: int = 64) -> list[int]:
     return [sum(1 << i for i in range(bits) if (code[i] & v).bit_count() & 1) for v in range(1, size + 1)]
 
 
+def finer_masks(mask: int, radius: int, bits: int = 64) -> list[int]:
+    """Masks that hold all of mask, such that two values that agree on mask and differ in at most `radius` positions agree on one of them."""
+    free, size = [i for i in range(bits) if not mask >> i & 1], (1 << (radius + 1)) - 1
+    return [mask | sum(1 << i for j, i in enumerate(free) if ((j % size + 1) & v).bit_count() & 1) for v in range(1, size + 1)]
+
+
 def forest(fps: np.ndarray, radius: int):
     """Spanning forest (a, b pairs) of the links within radius; each member is compared with unreached ones only."""
     left = np.sort(fps)
@@ -129,12 +136,31 @@ def _buckets(radius: int):
     return run
 
 
+def _shared(rows: DataFrame, total: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """rows: t, k, fp -> the buckets (t, k) of several members with their number n, and the rows in them."""
+    full = settle(rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    return full, look_up(rows, full, ["t", "k"], "n", total)
+
+
 def links(prints: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
-    """Links (u > v) that connect all distinct fingerprints within radius; prints has column fp, distinct."""
-    masks = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(covering_masks(radius))]
-    rows = prints.select("fp", F.explode(F.array(*masks)).alias("x")).select("x.t", "x.k", "fp")
-    full = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(full, ["t", "k"]).withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
+    """Links (u > v) that connect all distinct fingerprints within radius; prints has column fp, distinct.
+
+    Members of a bucket above `block` are bucketed again by finer masks, which lose no
+    pair within the radius; what is above `block` then has few bits left to differ in
+    and is dealt out as pairs of blocks.
+    """
+    masks = covering_masks(radius)
+    keyed = lambda ms, more: F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in more(ms)))
+    rows = prints.select("fp", F.explode(keyed(masks, enumerate)).alias("x")).select("x.t", "x.k", "fp")
+    full, shared = _shared(rows)
+    if not full.where(F.col("n") > block).isEmpty():
+        large, fine = shared.where(F.col("n") > block), None
+        for t, m in enumerate(masks):
+            own = keyed(finer_masks(m, radius), lambda ms, t=t: ((len(masks) * (t + 1) + j, x) for j, x in enumerate(ms)))
+            fine = F.when(F.col("t") == t, own) if fine is None else fine.when(F.col("t") == t, own)
+        again = large.select("fp", F.explode(fine).alias("x")).select("x.t", "x.k", "fp")
+        shared = shared.where(F.col("n") <= block).unionByName(_shared(again)[1])
+    shared = shared.withColumn("nb", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("nb")).cast("int")
     parts = (
         shared.withColumn("own", own)
@@ -146,26 +172,26 @@ def links(prints: DataFrame, radius: int = 4, block: int = 4096) -> DataFrame:
     return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(u, root) for every node of edges (u, v): root is the smallest node reachable."""
     def state(e):
         return tuple(e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
 
     edges = settle(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     seen = state(edges)
-    for _ in range(most):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = state(edges)
+        first = settle(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = look_up(both.where("v > u"), first, ["u"], "n", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = settle(large.where("u <> v").distinct(), "large")
+        least = settle(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = look_up(large, least, ["u"], "n", 2 * seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        done = settle(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        release(edges, first, large, least)
+        edges, now = done, state(done)
         if now == seen:
             return edges.select("u", F.col("v").alias("root"))
         seen = now
-    raise RuntimeError("components did not settle")
 
 
 def shingles(data: bytes, words: int = 5) -> np.ndarray:
@@ -253,13 +279,13 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     docs are ignored.  more: further links (u, v) of fingerprints.
     """
     prints = settle(fingerprints(docs, id_col, text_col, words), "prints")
-    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "nodes")
     found = links(nodes.select("fp"), radius, block)
     roots = components(found if more is None else found.unionByName(more)).withColumnRenamed("u", "fp")
-    member = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = member.join(smallest, "root").select("fp", "component_id")
-    return prints.join(of_fp, "fp").select(
+    member = settle(nodes.join(roots, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "member")
+    smallest = settle(member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "smallest")
+    of_fp = settle(look_up(member, smallest, ["root"], "size").select("fp", "n", "component_id"), "of_fp")
+    return look_up(prints, of_fp, ["fp"], "n").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
@@ -269,9 +295,13 @@ def near_dedup(docs: DataFrame, words: int = 4, radius: int = 4, shingle: int =
     """The rows of docs (all columns) whose doc_id is its component's smallest; rows that share a doc_id stay or go together.
 
     Texts are linked by fingerprints within radius and by Jaccard similarity t or more.
+    Texts without words are near copies of each other; rows with a null id stay
+    together, if theirs is the smallest of the group; an empty table gives an empty
+    result; further columns stay, whatever their names.
     """
-    kept = simhash_components(docs, words=words, radius=radius, more=similar(docs, words, shingle, t)).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__kept")), "left_semi")
+    ids = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
+    kept = simhash_components(ids, words=words, radius=radius, more=similar(ids, words, shingle, t)).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 def op1_simhash(spark, sf_dir):
