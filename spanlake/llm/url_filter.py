@@ -1,8 +1,13 @@
 """URL filters: path rules on hosts, and gradient-boosted trees on lexical features.
 
 Rules decide first; elsewhere the trees' score does.  Features are Column
-expressions; the fitted trees become one too, so judging a table is one
-projection.  The fit takes a bounded hash sample of labelled URLs to the driver.
+expressions; the fitted trees become one too.  Suffix statistics are counted over
+all labelled URLs and joined by suffix, whatever their number.  The fit takes a
+bounded hash sample of labelled URLs to the driver.
+
+Labels come from a table (url, label).  The tables at hand label no URLs; for them
+op2_url_filter falls back to public category words in host names (seed_labels), which
+the trees never see.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import fold_case, table
+from spanlake.llm.common import fold_case, look_up, settle, table
 
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 #: Words of public category lists; a host label made of them (by hyphens) is taken for unwanted.
@@ -20,6 +25,7 @@ FEATURES = (
     "url_bytes", "host_bytes", "path_bytes", "labels", "depth", "digit_ratio", "host_digits", "hyphens", "host_hyphens", "entropy",
     "vowel_ratio", "parameters", "fragment", "longest_label", "suffix",
 )
+BROADCAST_ROWS = 200_000
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -49,8 +55,8 @@ def suffix_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def lexical(urls: DataFrame, suffixes: dict[str, float], prior: float) -> DataFrame:
-    """urls: url, host, path and more -> with x, the feature array.  Null urls count as empty."""
+def lexical(urls: DataFrame) -> DataFrame:
+    """urls: url, host, path, stat and more -> with x, the feature array.  Null urls count as empty."""
     url = F.coalesce("url", F.lit(""))
     host, path = F.col("host"), F.col("path")
     size = lambda c: F.char_length(c).cast("double")
@@ -58,16 +64,13 @@ def lexical(urls: DataFrame, suffixes: dict[str, float], prior: float) -> DataFr
     share = lambda c, pattern: F.coalesce(count(c, pattern) / F.nullif(size(c), F.lit(0.0)), F.lit(0.0))
     letters = F.split(host, "")
     parts = F.transform(F.array_distinct(letters), lambda a: F.size(F.filter(letters, lambda b: b == a)) / F.size(letters))
-    entropy = F.aggregate(parts, F.lit(0.0), lambda s, p: s - p * F.log2(p))
+    entropy = F.when(host == "", 0.0).otherwise(F.aggregate(parts, F.lit(0.0), lambda s, p: s - p * F.log2(p)))
     labels = F.split(host, r"\.")
     query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    stat = F.lit(prior)
-    if suffixes:
-        stat = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in suffixes.items() for v in kv]), suffix_of(host)), stat)
     x = [
         size(url), size(host), size(path), F.size(labels).cast("double"), count(path, "/"), share(url, "0-9"), count(host, "0-9"), count(url, r"\-_"),
         count(host, r"\-"), entropy, share(host, "aeiou"), F.when(query == "", 0.0).otherwise(count(query, "&") + 1), F.contains(url, F.lit("#")).cast("double"),
-        F.array_max(F.transform(labels, F.char_length)).cast("double"), stat,
+        F.array_max(F.transform(labels, F.char_length)).cast("double"), F.col("stat"),
     ]
     return urls.withColumn("x", F.array(*x))
 
@@ -147,46 +150,63 @@ def seed_labels(urls: DataFrame) -> DataFrame:
 
 
 class UrlModel:
-    def __init__(self, trees: Trees, suffixes: dict[str, float], prior: float):
-        self.trees, self.suffixes, self.prior = trees, suffixes, prior
+    """Trees, and for suffixes the share of label 1 (table suffix, ones, n), drawn to the prior by `weight` URLs."""
+
+    def __init__(self, trees: Trees, suffixes: DataFrame, prior: float, weight: float = 10.0):
+        self.trees, self.suffixes, self.prior, self.weight = trees, suffixes, prior, weight
+
+    def stat(self, less: Column | None = None) -> Column:
+        """The smoothed share; less: an URL's own label, which is left out."""
+        ones, n = (F.coalesce(F.col(c), F.lit(0)) for c in ("ones", "n"))
+        if less is not None:
+            ones, n = ones - less, n - 1
+        return (ones + self.weight * self.prior) / (n + self.weight)
 
+    def looked_up(self, urls: DataFrame) -> DataFrame:
+        """urls with a column host -> with ones and n of its suffix; null where it isn't known."""
+        of = urls.withColumn("suffix", suffix_of(F.col("host")))
+        if self.suffixes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            return of.join(F.broadcast(self.suffixes), "suffix", "left")
+        known = look_up(of, self.suffixes.withColumnRenamed("n", "size").select("suffix", "ones", "size"), ["suffix"], "size").withColumnRenamed("size", "n")
+        other = of.join(self.suffixes.select("suffix"), "suffix", "left_anti").select("*", F.lit(None).cast("long").alias("ones"), F.lit(None).cast("long").alias("n"))
+        return known.unionByName(other)
 
-def train(labelled: DataFrame, max_rows: int = 10_000, max_suffixes: int = 200) -> UrlModel:
-    """labelled: url, label.  At most max_rows distinct URLs, by the order of a hash, are fitted on."""
-    rows = (
+
+def train(labelled: DataFrame, max_rows: int = 10_000) -> UrlModel:
+    """labelled: url, label.  Suffixes are counted over all distinct URLs, the trees are fitted on at most max_rows, by the order of a hash.
+
+    Null URLs and labels are left out; an URL labelled twice counts once, with the larger label.
+    """
+    rows = settle(
         labelled.where("url IS NOT NULL AND label IS NOT NULL").groupBy("url").agg(F.max("label").cast("int").alias("label"))
-        .orderBy(F.xxhash64("url"), "url").limit(max_rows)
-        .select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "label")
+        .select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "label"), "labelled"
     )
-    got = lexical(rows, {}, 0.0).select("x", "label", suffix_of(F.col("host")).alias("suffix"), "url").collect()
+    suffixes = settle(rows.groupBy(suffix_of(F.col("host")).alias("suffix")).agg(F.sum("label").alias("ones"), F.count("*").alias("n")), "suffixes")
+    total = suffixes.agg(F.sum("ones").alias("ones"), F.sum("n").alias("n")).first()
+    model = UrlModel(Trees(0.0, []), suffixes, ((total["ones"] or 0) + 0.5) / ((total["n"] or 0) + 1))
+    some = rows.orderBy(F.xxhash64("url"), "url").limit(max_rows)
+    got = lexical(model.looked_up(some).withColumn("stat", model.stat(F.col("label")))).select("x", "label", "url").collect()
     got.sort(key=lambda r: r["url"])
-    y = np.array([r["label"] for r in got], float)
-    prior = float((y.sum() + 0.5) / (len(y) + 1))
-    sums: dict[str, list] = {}
-    for r in got:
-        s = sums.setdefault(r["suffix"], [0, 0])
-        s[0] += r["label"]
-        s[1] += 1
-    top = sorted(sums, key=lambda k: (-sums[k][1], k))[:max_suffixes]
-    suffixes = {k: (sums[k][0] + 10 * prior) / (sums[k][1] + 10) for k in top}
-    x = np.array([[*r["x"][:-1], suffixes.get(r["suffix"], prior)] for r in got]).reshape(-1, len(FEATURES))
-    return UrlModel(boost(x, y), suffixes, prior)
+    model.trees = boost(np.array([r["x"] for r in got]).reshape(-1, len(FEATURES)), np.array([r["label"] for r in got], float))
+    return model
 
 
 def judge(pages: DataFrame, model: UrlModel, rules=RULES, threshold: float = 0.5, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per input row: page_id, host, path, rule, verdict, score.
 
     A null URL, or one without ://, has empty host and path, fits no rule and is
-    judged by the trees.  Repeated rows give repeated rows; further columns are ignored.
+    judged by the trees.  Repeated rows give repeated rows, null ids stay, an empty
+    table gives an empty result; further columns are ignored.
     """
     urls = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    scored = lexical(urls, model.suffixes, model.prior).select("page_id", "host", "path", model.trees.column(F.col("x")).alias("score"))
+    scored = lexical(model.looked_up(urls).withColumn("stat", model.stat())).select("page_id", "host", "path", model.trees.column(F.col("x")).alias("score"))
     return scored.select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"), "score"
     )
 
 
 def op2_url_filter(spark, sf_dir):
+    """Trained on the fallback labels: no table labels URLs."""
     pages = table(spark, sf_dir, "pages")
     return judge(pages, train(seed_labels(pages)))
