@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import bucket_of, id_text, table
+from spanlake.llm.common import bucket_of, id_text, parts_of, table
 
 FEATURES = (
     "log_bytes", "upper", "digits", "space", "sentence_marks", "bangs", "bars", "symbols", "non_ascii", "log_words",
@@ -141,7 +141,8 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, lea
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: int, keep) -> DataFrame:
     """doc_id, text, y of at most max_rows labelled documents, by the order of a hash of their ids.
 
-    Repeated labels of a document count once (the largest); null labels not at all.
+    Repeated labels of a document count once (the largest), null labels not at all;
+    of rows that share an id the smallest text counts.
     """
     ids = (
         labels.select(F.col("doc_id").alias("__id"), F.col(label).cast("int").alias("y"))
@@ -149,7 +150,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
         .groupBy("__id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
     )
-    return docs.join(F.broadcast(ids), docs["doc_id"] == F.col("__id")).select("doc_id", "text", "y")  # at most max_rows rows of 12 bytes
+    held = docs.join(F.broadcast(ids), docs["doc_id"] == F.col("__id"))  # at most max_rows rows of 12 bytes
+    return held.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def _featured(batches):
@@ -188,14 +190,19 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs (all columns) that the classifier accepts, scored where they are: no join back."""
+    """The rows of docs (all columns) that the classifier accepts, scored where they are: no join back.
+
+    Null texts count as empty; null ids and rows that share an id are scored like any
+    other; without labels every score is one half and all rows stay; an empty table
+    gives an empty result.
+    """
     model = train(id_text(docs), labels, keep=bucket_of("__id", 3) != 1)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            x = np.array([features(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())]).reshape(-1, len(FEATURES))
-            yield batch.filter(pa.array(shared.value.score(x) >= threshold))
+        for part in (part for batch in batches for part in parts_of(batch, "text", 16 << 20, 10_000)):
+            x = np.array([features(t.as_py() or b"") for t in part.column("text").cast(pa.binary())]).reshape(-1, len(FEATURES))
+            yield part.filter(pa.array(shared.value.score(x) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
