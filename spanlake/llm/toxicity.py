@@ -4,8 +4,9 @@ N-grams of 3 to 6 characters are taken inside words with their boundaries, of
 lower-cased text, hashed to 2**20 buckets and counted once a document.  The model is
 fitted on a bounded sample of labelled documents (`max_rows`, by the order of a hash
 of their ids): buckets whose log-count ratio r differs from zero by `z` standard
-errors, `max_features` at most, become features of the value r, and a logistic
-model weighs them.  Every document is scored on its whole text.
+errors become features of the value r, however many there are, and a logistic model
+weighs them.  Its bias is set on predictions for documents that a fit has not seen, so
+that the threshold parts the labels best.  Every document is scored on its whole text.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanlake.llm.common import bucket_of, id_text, settle, table
+from spanlake.llm.common import bucket_of, id_text, parts_of, settle, table
 from spanlake.llm.quality_gam import labelled_sample
 
 BITS, SIZES = 20, (3, 4, 5, 6)
@@ -105,28 +106,55 @@ class NaiveBayesLinear:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float = 0.02, steps: int = 400) -> tuple[np.ndarray, float]:
+def _sums(values: np.ndarray, first: np.ndarray, filled: np.ndarray, n: int) -> np.ndarray:
+    """Sums of runs of values that begin at first; filled: which of the n sums have a run."""
+    out = np.zeros(n, np.float32)
+    if len(first):
+        out[filled] = np.add.reduceat(values, first)
+    return out
+
+
+def fit_linear(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float = 0.02, steps: int = 200) -> tuple[np.ndarray, float]:
     """Logistic regression on r-scaled binary features: Nesterov gradient steps, deterministic."""
     n, p = len(rows), len(r)
     share = (y.sum() + 0.5) / (n + 1)
     w, b = np.zeros(p), float(np.log(share / (1 - share)))
     if not n or not p or y.min() == y.max():
         return w, b
-    own, at = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in rows]), np.concatenate(rows)
-    value = (r / np.abs(r).max()).astype(np.float32)[at]
-    rate = 4 / (np.bincount(own, value ** 2, n).max() + 1 + l2)
+    size, at = np.array([len(x) for x in rows]), np.concatenate(rows)
+    own = np.repeat(np.arange(n, dtype=np.int32), size)
+    scale = (r / np.abs(r).max()).astype(np.float32)
+    turned = np.argsort(at, kind="stable")  # the same places by feature
+    by_feature, times = own[turned], np.bincount(at, minlength=p)
+    (docs,), (used,) = np.nonzero(size), np.nonzero(times)
+    at_docs, at_used = (size.cumsum() - size)[docs], (times.cumsum() - times)[used]
+    rate = 4 / (float(_sums((scale ** 2)[at], at_docs, docs, n).max()) + 1 + l2)
     v, vb = w.copy(), b
     for k in range(1, steps + 1):
-        q = 1 / (1 + np.exp(-np.clip(np.bincount(own, value * v[at], n) + vb, -50, 50)))
-        gw, gb = np.bincount(at, value * (q - y)[own], p) + l2 * v, float((q - y).sum())
+        z = _sums((scale * v).astype(np.float32)[at], at_docs, docs, n)
+        left = (1 / (1 + np.exp(-np.clip(z + vb, -50, 50))) - y).astype(np.float32)
+        gw, gb = scale * _sums(left[by_feature], at_used, used, p) + l2 * v, float(left.sum())
         nw, nb = v - rate * gw, vb - min(rate, 4 / n) * gb
         mix = (k - 1) / (k + 2)
         v, vb, w, b = nw + mix * (nw - w), nb + mix * (nb - b), nw, nb
-    return w * r / np.abs(r).max(), b
+    return w * scale, b
+
+
+def best_cut(z: np.ndarray, y: np.ndarray) -> float | None:
+    """The place on z that parts the labels with the best F1; of a stretch of places the middle; None without both labels."""
+    if not len(y) or y.min() == y.max():
+        return None
+    order = np.argsort(-z, kind="stable")
+    z, y = z[order], y[order]
+    hits, n = np.cumsum(y), np.arange(1, len(y) + 1)
+    score = 2 * hits / (n + y.sum())
+    score[:-1][z[:-1] == z[1:]] = 0  # no place between equal ones
+    k = int(score.argmax())
+    return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, max_rows: int = 20_000,
-          max_features: int = 4_000, z: float = 2.5, min_df: int = 3) -> NaiveBayesLinear:
+          z: float = 2.5, min_df: int = 3, threshold: float = 0.7) -> NaiveBayesLinear:
     """Fit on at most max_rows labelled documents, whole texts, that keep (a condition on __id) admits."""
     keep = F.lit(True) if keep is None else keep
     rows = settle(labelled_sample(docs, labels, label, max_rows, keep).select("text", "y").repartition(32), "labelled")
@@ -136,12 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, m
     n0, n1 = F.col("na"), F.col("nb")
     ratio = F.log((F.col("b") + 0.5) / (n1 + 1)) - F.log((F.col("a") + 0.5) / (n0 + 1))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    chosen = (
-        sums.where("bucket >= 0").join(total).select("bucket", ratio.alias("r"), (F.abs(ratio) / error).alias("z"))
-        .where(F.col("z") >= z).orderBy(F.desc("z"), "bucket").limit(max_features).collect()
-    )
-    chosen.sort(key=lambda x: x["bucket"])
-    buckets, r = np.array([x["bucket"] for x in chosen], np.int64), np.array([x["r"] for x in chosen], float)
+    chosen = sums.where("bucket >= 0").join(total).select("bucket", ratio.alias("r"), (F.abs(ratio) / error).alias("z")).where(F.col("z") >= z).select("bucket", "r").orderBy("bucket").toPandas()  # 2**BITS rows at most
+    buckets, r = chosen["bucket"].to_numpy(np.int64), chosen["r"].to_numpy(float)
     model = NaiveBayesLinear(buckets, r, 0.0)
     shared = docs.sparkSession.sparkContext.broadcast(model.index())
 
@@ -151,9 +175,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, m
             got = grams.of(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in got], pa.binary()), batch.column("y")], names=["x", "y"])
 
-    sample = rows.mapInArrow(featured, "x binary, y int").collect()
+    sample = rows.mapInArrow(featured, "x binary, y int").collect()  # max_rows rows at most
     sample.sort(key=lambda s: (bytes(s["x"]), s["y"]))
-    model.weights, model.bias = fit_linear([np.frombuffer(s["x"], np.int32) for s in sample], np.array([s["y"] > 0 for s in sample], float), r)
+    x, y = [np.frombuffer(s["x"], np.int32) for s in sample], np.array([s["y"] > 0 for s in sample], float)
+    unseen, fold = np.zeros(len(y)), np.arange(len(y)) % 2
+    for k in (0, 1):
+        w, b = fit_linear([x[i] for i in np.flatnonzero(fold != k)], y[fold != k], r)
+        unseen[fold == k] = [w[x[i]].sum() + b for i in np.flatnonzero(fold == k)]
+    model.weights, model.bias = fit_linear(x, y, r)
+    if (cut := best_cut(unseen, y)) is not None:
+        model.bias += float(np.log(threshold / (1 - threshold))) - cut
     return model
 
 
@@ -164,9 +195,9 @@ def toxicity_scores(docs: DataFrame, model: NaiveBayesLinear, id_col: str = "doc
 
     def run(batches):
         grams = Grams(shared.value.index())
-        for batch in batches:
-            score = shared.value.score(grams.of(batch.column("text").to_pylist()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
+        for part in (part for batch in batches for part in parts_of(batch, "text", 8 << 20, 2_000)):
+            score = shared.value.score(grams.of(part.column("text").to_pylist()))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"])
 
     return narrow.mapInArrow(run, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, score double")
 

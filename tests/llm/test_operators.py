@@ -382,6 +382,55 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.limit(0), url_filter.train(url_filter.seed_labels(pages.limit(0)))).count() == 0
 
 
+def slow_features(url, stat):
+    import math
+    from collections import Counter
+
+    url = url or ""
+    host, path = slow_url(url)[:2]
+    tally = Counter(host)
+    query = url.split("?", 1)[1].split("#", 1)[0] if "?" in url else ""
+    return [
+        len(url), len(host), len(path), host.count(".") + 1, path.count("/"), sum(c in "0123456789" for c in url) / len(url) if url else 0, sum(c in "0123456789" for c in host),
+        url.count("-") + url.count("_"), host.count("-"), -sum(n / len(host) * math.log2(n / len(host)) for n in tally.values()), sum(c in "aeiou" for c in host) / len(host) if host else 0,
+        query.count("&") + 1 if query else 0, float("#" in url), max(map(len, host.split("."))), stat,
+    ]
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_url_verdicts_against_brute_force(spark, few, monkeypatch):
+    """All pages: features, suffix statistics and trees outside Spark; suffixes looked up by either join."""
+    from collections import Counter
+
+    if few:
+        monkeypatch.setattr(url_filter, "BROADCAST_ROWS", 1)
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url")
+    pages = pages.union(spark.createDataFrame([(-1, None), (-2, "x"), (-3, "http://a.b/" + "x-1/" * 20_000), (-4, "http://" + "h" * 50_000)], pages.schema))
+    labelled = url_filter.seed_labels(pages)
+    model = url_filter.train(labelled)
+    suffix = lambda u: ".".join(slow_url(u)[0].split(".")[-2:])
+    known = {r.url: r.label for r in labelled.collect()}
+    ones, n = Counter(), Counter()
+    for u, y in known.items():
+        ones[suffix(u)] += y
+        n[suffix(u)] += 1
+    prior = (sum(ones.values()) + 0.5) / (len(known) + 1)
+    assert abs(prior - model.prior) < 1e-12
+    x = {u: slow_features(u, (ones[suffix(u)] + 10 * prior) / (n[suffix(u)] + 10)) for u in [r.url for r in pages.collect()]}
+    rows = url_filter.judge(pages, model).collect()
+    assert len(rows) == pages.count()
+    urls = {r.page_id: r.url for r in pages.collect()}
+    want = dict(zip(x, model.trees.score(np.array(list(x.values())))))
+    for r in rows:
+        rule = slow_url(urls[r.page_id])[3]
+        assert abs(r.score - want[urls[r.page_id]]) < 1e-9
+        assert r.verdict == (rule or ("block" if r.score >= 0.5 else "allow"))
+    held = {u for u in known if zlib.crc32(slow_url(u)[0].encode()) % 2}  # hosts that another fit hasn't seen
+    other = url_filter.train(labelled.where((F.crc32(url_filter.host_of(F.col("url")).cast("binary")) % 2) == 0))
+    x = np.array([slow_features(u, (other.prior * 10 + sum(known[v] for v in known if v not in held and suffix(v) == suffix(u))) / (10 + sum(v not in held and suffix(v) == suffix(u) for v in known))) for u in sorted(held)])
+    assert ((other.trees.score(x) >= 0.5) == np.array([known[u] for u in sorted(held)])).mean() > 0.9
+
+
 def test_trees_learn_and_compile(spark):
     r = np.random.default_rng(1)
     x = r.random((500, 3))
