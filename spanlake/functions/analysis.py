@@ -8,10 +8,14 @@ Arrow UDF.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import math
 import re
 import unicodedata
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column
@@ -32,6 +36,13 @@ class Token:
     split: bool = False
 
 
+def check_word(word: str) -> str:
+    """A word of a custom dictionary: not empty, without white space, of at most 256 bytes."""
+    if not word or any(c.isspace() for c in word) or len(word.encode()) > 256:
+        raise AnalysisError(f"{word!r} can't be a word of a dictionary")
+    return word
+
+
 @dataclass(frozen=True)
 class AnalyzerSpec:
     """The index's analysis options; fixed once an index is built."""
@@ -43,10 +54,13 @@ class AnalyzerSpec:
     max_token_bytes: int = 256
     graphemes: str = "emoji"
     position_gaps: str = "preserve"
+    #: Words and their frequencies, for the tokenizer "dictionary".
+    dictionary: tuple[tuple[str, int], ...] = ()
 
     def __post_init__(self):
+        object.__setattr__(self, "dictionary", tuple(sorted((check_word(w), int(n)) for w, n in self.dictionary)))
         allowed = {
-            "tokenizer": ("unicode", "whitespace"), "case_folding": ("fold", "preserve"), "accent_folding": ("fold", "preserve"),
+            "tokenizer": ("unicode", "whitespace", "dictionary"), "case_folding": ("fold", "preserve"), "accent_folding": ("fold", "preserve"),
             "long_tokens": ("split", "truncate", "discard"), "graphemes": ("emoji", "retain", "discard"), "position_gaps": ("preserve", "collapse"),
         }
         for name, values in allowed.items():
@@ -56,7 +70,16 @@ class AnalyzerSpec:
             raise AnalysisError("max_token_bytes must be between 4 and 2692")
 
     def to_dict(self) -> dict:
-        return asdict(self)
+        return asdict(self) | {"dictionary": [list(x) for x in self.dictionary]}
+
+    def with_words(self, words: dict[str, int | None]) -> AnalyzerSpec:
+        """Adds words to the dictionary, or with None takes them out; an index keeps the dictionary it was built with."""
+        held = dict(self.dictionary) | words
+        return replace(self, dictionary=tuple((w, n) for w, n in held.items() if n is not None))
+
+    def fingerprint(self) -> str:
+        """Equal for specs that give the same tokens."""
+        return hashlib.sha256(json.dumps(self.to_dict(), sort_keys=True).encode()).hexdigest()[:16]
 
 
 _WORD_BREAK = regex.compile(r"(?V1w)\b")
@@ -74,13 +97,21 @@ def _is_emoji(g: str) -> bool:
     return not g.isascii() and _EMOJI.match(g) is not None
 
 
+_HAN = regex.compile(r"\p{Han}+")
+
+
 class Analyzer:
     def __init__(self, spec: AnalyzerSpec | None = None):
         self.spec = spec or AnalyzerSpec()
+        words = dict(self.spec.dictionary)
+        total = max(1, sum(words.values()))
+        self.cost = {w: math.log(total / max(1, n)) for w, n in words.items()}
+        self.strange = math.log(total) + 1  # of a character that is no word, above any word's
+        self.longest = max(map(len, words), default=1)
 
     def tokens(self, text: str) -> list[Token]:
         spec = self.spec
-        raw = self._unicode(text) if spec.tokenizer == "unicode" else self._whitespace(text)
+        raw = {"unicode": self._unicode, "whitespace": self._whitespace, "dictionary": self._dictionary}[spec.tokenizer](text)
         out, shift, count = [], 0, 0
         for pos, (word, start, end, kind) in enumerate(raw):
             folded = self.fold(word)
@@ -116,6 +147,29 @@ class Analyzer:
     def _whitespace(self, text: str):
         return [(m[0], m.start(), m.end(), "unknown") for m in re.finditer(r"\S+", text)]
 
+    def _dictionary(self, text: str):
+        """Runs of Han characters cut into words of the dictionary, by the likeliest path of a unigram lattice; other text as by `unicode`."""
+        out, at = [], 0
+        for m in _HAN.finditer(text):
+            out += [(w, a + at, b + at, kind) for w, a, b, kind in self._unicode(text[at:m.start()])]
+            at = m.end()
+            out += [(text[a:b], a, b, "word") for a, b in self._cheapest(text, m.start(), at)]
+        return out + [(w, a + at, b + at, kind) for w, a, b, kind in self._unicode(text[at:])]
+
+    def _cheapest(self, text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+        best = [(0.0, lo)] + [(math.inf, lo)] * (hi - lo)
+        for i in range(lo, hi):
+            so_far = best[i - lo][0]
+            for j in range(i + 1, min(hi, i + self.longest) + 1):
+                cost = self.cost.get(text[i:j], self.strange if j == i + 1 else None)
+                if cost is not None and so_far + cost < best[j - lo][0]:
+                    best[j - lo] = (so_far + cost, i)
+        cuts = [hi]
+        while cuts[-1] > lo:
+            cuts.append(best[cuts[-1] - lo][1])
+        cuts.reverse()
+        return list(zip(cuts, cuts[1:]))
+
     def _unicode(self, text: str):
         mode, out, gap = self.spec.graphemes, [], 0
         # Apostrophes join as full stops do; the library's rule for vowels behind them isn't Unicode's.
@@ -216,6 +270,23 @@ def is_latin(text: Column, words: Column, spec: AnalyzerSpec) -> Column:
     return plain & ~text.rlike(f"[{odd}]") if odd else plain
 
 
+def token_spans(text: Column, spec: AnalyzerSpec | None = None) -> Column:
+    """array<struct<text, pos, start, end, kind>>: tokens with their places in the text, in UTF-8 bytes, ends exclusive."""
+    analyzer = Analyzer(spec)
+
+    @F.pandas_udf("array<struct<text: string, pos: int, start: int, end: int, kind: string>>")
+    def places(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if t is None:
+                return None
+            at = list(range(len(t) + 1)) if t.isascii() else [0, *np.cumsum([len(c.encode()) for c in t]).tolist()]
+            return [{"text": x.text, "pos": x.pos, "start": at[x.start], "end": at[x.end], "kind": x.kind} for x in analyzer.tokens(t)]
+
+        return texts.map(one)
+
+    return places(text)
+
+
 def token_column(text: Column, spec: AnalyzerSpec | None = None) -> Column:
     """array<struct<text string, pos int>> of a text column; null where the text is."""
     spec = spec or AnalyzerSpec()

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from spanlake.operators.spans import intervals, skeleton
 from spanlake.plans.parser import QueryError
 from spanlake.plans.query import NONE, check_fields, prune, span_children, span_leaves
-from spanlake.sources.index import Index, bucket_of
+from spanlake.sources.index import Index
 
 MAX_TERMS = 65_536
 FEW = 1_000
@@ -69,14 +69,12 @@ def select_postings(index: Index, terms: list[str]) -> DataFrame:
     """Postings of exact terms, from their buckets only."""
     posts = index.postings
     if len(terms) <= FEW:
-        buckets = index.meta["buckets"]
-        rows = index.spark.range(1).select(*(bucket_of(F.lit(t), buckets) for t in terms)).first() if terms else ()
-        return posts.where(F.col("bucket").isin(sorted(set(rows))) & F.col("term").isin(terms)) if terms else posts.where(F.lit(False))
+        return posts.where(F.col("bucket").isin(index.bucket_numbers(terms)) & F.col("term").isin(terms)) if terms else posts.where(F.lit(False))
     named = index.spark.createDataFrame([(t,) for t in terms], "term string")  # at most MAX_TERMS a leaf
     return posts.join(F.broadcast(named), "term", "left_semi")
 
 
-class _Plan:
+class Plan:
     def __init__(self, index: Index, q: tuple):
         self.index, self.q = index, q
         self.fields = list(range(len(index.fields)))
@@ -226,13 +224,15 @@ class _Plan:
             lo, hi = out, dl - out - 1
         return F.exists(at(n[2]), lambda p: p.between(lo, hi))
 
-    def _solve(self, node: tuple, f: int) -> Column:
+    def _solve(self, node: tuple, f: int, count: bool = False) -> Column:
+        """Whether a span occurs in a field, or how often."""
         leaves = span_leaves(node)
         where = {leaf: k for k, leaf in enumerate(leaves)}
 
-        @F.pandas_udf("boolean")
+        @F.pandas_udf("int" if count else "boolean")
         def solved(dl: pd.Series, places: pd.DataFrame) -> pd.Series:
-            return pd.Series([bool(intervals(node, lambda leaf, row=row: sorted(map(int, row[where[leaf]])), int(n or 0))) for n, row in zip(dl, zip(*(places[c] for c in places)))], dtype=bool)
+            found = [len(intervals(node, lambda leaf, row=row: sorted(map(int, row[where[leaf]])), int(n or 0))) for n, row in zip(dl, zip(*(places[c] for c in places)))]
+            return pd.Series(found, dtype="int32") if count else pd.Series(found, dtype="int32") > 0
 
         dl = F.get("field_dl", F.lit(f)) if self.uses_docs else F.lit(0)
         return solved(dl, F.struct(*(self.places_of(leaf, f).alias(f"l{k}") for k, leaf in enumerate(leaves))))
@@ -240,12 +240,24 @@ class _Plan:
     # ------------------------------------------------------------------- plan
     def run(self, more_terms: list[str], more: dict[str, Column]) -> DataFrame:
         """doc_id and, from the same pass over the postings of the query's words and more_terms, the aggregates in more."""
+        if not self.leaves and not more:
+            return self.index.docs.where(self.truth(self.q, tuple(self.fields), None)).select("doc_id")
+        if self.q[0] == "term" and len(self.fields) == 1 and not more:  # a posting a document: nothing to group, and a limit stops early
+            return select_postings(self.index, [self.q[1]]).select("doc_id")
+        return self.rows(more_terms, more).where(self.truth(self.q, tuple(self.fields), self.exact)).select("doc_id", *more)
+
+    def frequencies(self) -> DataFrame:
+        """doc_id, freq: the number of minimal intervals of a span in a document, over its fields; documents without are left out."""
+        node = self.q[1]
+        freq = reduce(operator.add, (self._solve(node, f, count=True) for f in self.fields))
+        return self.rows([], {}).select("doc_id", freq.alias("freq")).where("freq > 0")
+
+    def rows(self, more_terms: list[str], more: dict[str, Column]) -> DataFrame:
+        """Documents that may match, with the flags and places of the query's words and the aggregates in more."""
         index, every = self.index, tuple(self.fields)
         found, wide = resolve(index, self.leaves)
         whole = self.without_words(self.q)
         docs = index.docs.select("doc_id", "field_dl")
-        if not self.leaves and not more:
-            return docs.where(self.truth(self.q, every, None)).select("doc_id")
         terms = sorted({t for ts in found.values() for t in ts} | set(more_terms))
         many = len(terms) > FEW or wide
         if wide:
@@ -273,7 +285,7 @@ class _Plan:
             rows = rows.join(docs, "doc_id")
         if self.places and not self._negated_span(self.q):
             rows = rows.where(self.truth(self.q, every, self.rough))
-        return rows.where(self.truth(self.q, every, self.exact)).select("doc_id", *more)
+        return rows
 
     def _scoped_all(self, q: tuple) -> bool:
         return any(self._scoped_all(x) for x in (q[1] if q[0] == "conj" else q[2] if q[0] == "disj" else [q[1]] if q[0] == "not" else [q[2]] if q[0] in ("boost", "field") else [])) or q == ("all",)
@@ -291,10 +303,11 @@ class _Plan:
 def matching(index: Index, q: tuple, more_terms: list[str] | None = None, more: dict[str, Column] | None = None) -> DataFrame:
     """doc_id of every live document that matches a lowered query, and aggregates (more) over its postings of the query's words and more_terms."""
     check_fields(q, index.fields) if len(index.fields) > 1 else _no_fields(q)
+    index.check_analysis()
     q = prune(q)
     if q in (NONE, ("none",)):
         return index.postings.where(F.lit(False)).groupBy("doc_id").agg(*(c.alias(name) for name, c in more.items())) if more else index.docs.select("doc_id").where(F.lit(False))
-    return _Plan(index, q).run(more_terms or [], more or {})
+    return Plan(index, q).run(more_terms or [], more or {})
 
 
 def _no_fields(q: tuple) -> None:

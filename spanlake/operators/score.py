@@ -17,6 +17,7 @@ from spanlake.functions.analysis import builtin_stop_words
 from spanlake.operators.compile import MAX_TERMS, matching, resolve, select_postings
 from spanlake.plans.parser import QueryError
 from spanlake.plans.query import compile_query, span_leaves
+from spanlake.settings import setting
 from spanlake.sources.index import Index
 
 TF_STEPS = (1, 2, 3, 5, 10, 20, 41, 85, 177, 371, 777, 1626, 3405, 7132, 14938, 31288)
@@ -76,15 +77,18 @@ def _collect(index: Index, q: tuple) -> Weights:
     for leaf, boost, explicit, scope in found:
         for t in terms.get(leaf, ()):
             out.add(t, boost, explicit, scope)
-    if wide or len(out.terms) > MAX_TERMS:
-        raise QueryError(f"the query expands to more than {MAX_TERMS} terms")
+    most = min(MAX_TERMS, setting(index.spark, "max_expansion_terms"))
+    if wide or sum(len(ts) for leaf, ts in terms.items() if leaf[0] != "term") > most:
+        raise QueryError(f"the query expands to more than {most} terms")
     return out
 
 
 def frequencies(index: Index, terms: list[str]) -> dict[str, int]:
     """Document frequency of each term, from the dictionary."""
     if len(terms) <= 1000:
-        rows = index.terms.where(F.col("term").isin(terms)) if terms else index.terms.limit(0)
+        if not terms:
+            return {}
+        rows = index.terms.where(F.col("bucket").isin(index.bucket_numbers(terms)) & F.col("term").isin(terms))
     else:
         rows = index.terms.join(F.broadcast(index.spark.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")  # at most MAX_TERMS
     return {r["term"]: r["df"] for r in rows.select("term", "df").collect()}

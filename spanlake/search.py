@@ -15,9 +15,9 @@ from spanlake.functions.analysis import Analyzer, AnalyzerSpec, builtin_stop_wor
 from spanlake.operators import evaluate as _evaluate
 from spanlake.operators import highlight as _highlight
 from spanlake.operators import score as _score
-from spanlake.operators.compile import matching
+from spanlake.operators.compile import Plan, matching
 from spanlake.plans.parser import QueryError, maybe_quote
-from spanlake.plans.query import compile_query, ql_parse
+from spanlake.plans.query import compile_query, prune, ql_parse
 from spanlake.sources.index import Index
 from spanlake.sources.scratch import shared_dir
 
@@ -25,11 +25,14 @@ VERSION = "0.1.0"
 
 
 # ------------------------------------------------------------------- matching
-def match(index: Index, *queries: str | None) -> DataFrame:
-    """doc_id of the documents that match all queries (several clauses: AND); a null query matches none."""
+def match(index: Index, *queries: str | None, implicit: str = "and") -> DataFrame:
+    """doc_id of the documents that match all queries (several clauses: AND); a null query matches none.
+
+    implicit: what white space between operands means, and or or.
+    """
     if any(q is None for q in queries):
         return index.docs.select("doc_id").where(F.lit(False))
-    parts = [compile_query(q, index.analyzer) for q in queries]
+    parts = [compile_query(q, index.analyzer, implicit=implicit) for q in queries]
     return matching(index, parts[0] if len(parts) == 1 else ("conj", parts))
 
 
@@ -41,6 +44,16 @@ def match_any(index: Index, queries: list[str | None] | None) -> DataFrame:
     return matching(index, ("disj", 1, parts))
 
 
+def span_freq(index: Index, query: str) -> DataFrame:
+    """doc_id, freq: how many minimal intervals a span query has in each document that matches."""
+    q = prune(compile_query(query, index.analyzer))
+    if q[0] == "term":
+        q = ("span", ("leaf", q))
+    if q[0] != "span":
+        raise QueryError("span_freq needs a span or a word")
+    return Plan(index, q).frequencies()
+
+
 def count(index: Index, query: str) -> int:
     """Exact number of matching live documents; one word's comes from the dictionary where nothing is dead."""
     q = compile_query(query, index.analyzer)
@@ -151,6 +164,14 @@ def snippet_column(index: Index, query: str, kind: str = "html", begin: str = "<
     return make(F.struct(*index.fields))
 
 
+def hits(index: Index, source: DataFrame, *queries: str, id_col: str = "doc_id", kind: str = "html", begin: str = "<b>", end: str = "</b>", field: str | None = None) -> DataFrame:
+    """Rows of source that match all queries, with snippet: their text marked by the same queries and the index's own analysis."""
+    bound = " OR ".join(f"({q})" for q in queries)
+    found = match(index, *queries).select(F.col("doc_id").alias("found_id"))
+    rows = source.join(found, source[id_col] == F.col("found_id"), "left_semi")
+    return rows.withColumn("snippet", snippet_column(index, bound, kind, begin, end, field))
+
+
 def highlight_column(text: Column, query: str | None, begin: str = "<b>", end: str = "</b>", spec: AnalyzerSpec | None = None) -> Column:
     analyzer = Analyzer(spec)
 
@@ -198,7 +219,7 @@ def stop_word_table(spark: SparkSession, preset: str) -> DataFrame:
 def capabilities() -> str:
     """A JSON document of what this version does."""
     return json.dumps({
-        "version": VERSION, "tokenizers": ["unicode", "whitespace"], "scoring": ["bm25", "weighted multi-field bm25"], "snippets": ["html", "ansi", "none"],
+        "version": VERSION, "tokenizers": ["unicode", "whitespace", "dictionary"], "scoring": ["bm25", "weighted multi-field bm25"], "snippets": ["html", "ansi", "none"],
         "language": ["term", "phrase", "gap", "slop", "and", "or", "and not", "alternatives", "at least", "all of", "then", "near", "within", "relations", "positional filters", "wildcard", "regex", "fuzzy", "range", "boost", "field scope"],
         "max_expansion_terms": 65536, "max_fields": 16,
     }, sort_keys=True)

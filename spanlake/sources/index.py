@@ -1,7 +1,7 @@
 """The inverted index: Parquet tables under one folder, one generation per write.
 
   postings  gen, bucket | term, doc_id, field, positions, tf, dl   sorted by term
-  terms     gen | term, df, max_tf          (df: distinct documents over fields)
+  terms     gen, bucket | term, df, max_tf  (df: distinct documents over fields)
   stats     gen | n_docs, total_length, field_totals
   dead      gen | doc_id, upto              (dead in generations up to `upto`)
   meta      one row of JSON: analyzer, fields, weights, buckets
@@ -26,6 +26,7 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -33,10 +34,11 @@ from pyspark.sql.types import StructType
 from spanlake import ship
 from spanlake.functions.analysis import Analyzer, AnalyzerSpec, is_latin, latin_words, token_column
 from spanlake.plans.parser import QueryError
+from spanlake.settings import setting
 from spanlake.sources.scratch import shared_dir
 
 POSTINGS = "term string, doc_id {id}, field int, positions array<int>, tf int, dl int, gen int, bucket int"
-TERMS = "term string, df long, max_tf int, gen int"
+TERMS = "term string, df long, max_tf int, gen int, bucket int"
 FILE_BYTES = 32 << 20  # of input for one file of postings
 MOST_FILES = 65_536
 ANALYSIS = 1  # goes up when the same options give other tokens
@@ -154,7 +156,8 @@ class Index:
         laid = posts.select("term", "doc_id", "field", "positions", "tf", "dl", "bucket", place.alias("place")).repartitionById((m["buckets"] + 1) * m["spread"], "place").drop("place")
         laid.sortWithinPartitions("bucket", "term", "doc_id", "field").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/postings/{at}")
         df = F.count_distinct("doc_id") if len(self.fields) > 1 else F.count("*")
-        self._postings([gen]).groupBy("term").agg(df.alias("df"), F.max("tf").alias("max_tf")).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.path}/terms/{at}")
+        terms = self._postings([gen]).groupBy("bucket", "term").agg(df.alias("df"), F.max("tf").alias("max_tf")).repartitionById(m["buckets"], "bucket")
+        terms.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/terms/{at}")
         totals = [F.coalesce(F.sum(F.get("field_dl", F.lit(i)).cast("long")), F.lit(0).cast("long")) for i in range(len(self.fields))]
         self._docs([gen]).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum(F.col("dl").cast("long")), F.lit(0).cast("long")).alias("total_length"), F.array(*totals).alias("field_totals")) \
             .coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats/{at}")
@@ -234,11 +237,16 @@ class Index:
 
     @cached_property
     def terms(self) -> DataFrame:
-        """The dictionary: term, df, max_tf; dead documents count until compact()."""
+        """The dictionary: term, df, max_tf, bucket; dead documents count until compact()."""
         rows = self._read("terms", TERMS, self.meta["gens"])
         if len(self.meta["gens"]) == 1:
             return rows.drop("gen")
-        return rows.groupBy("term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"))
+        return rows.groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"))
+
+    def bucket_numbers(self, terms: list[str]) -> list[int]:
+        """The buckets of some terms, as bucket_of gives them."""
+        hashes = (xxhash.xxh64_intdigest(t.encode(), 42) for t in terms)
+        return sorted({(h - (1 << 64) if h >> 63 else h) % self.meta["buckets"] for h in hashes})
 
     @cached_property
     def totals(self) -> tuple[int, int, list[int]]:
@@ -282,6 +290,16 @@ class Index:
         rows = [(k, str(stored.get(k, "absent")), str(now.get(k, "absent")), stored.get(k) != now.get(k), "rebuild" if stored.get(k) != now.get(k) else "none") for k in names]
         return self.spark.createDataFrame(rows, "option string, stored string, runtime string, drifted boolean, action string")
 
+    def check_analysis(self) -> None:
+        """With the setting strict_analysis, refuses an index whose analysis isn't this library's."""
+        if self.meta.get("analysis", 0) != ANALYSIS and setting(self.spark, "strict_analysis"):
+            raise QueryError("the index was built by another version of the analysis: rebuild it")
+
+    def forward(self, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+        """doc_id, field, words (map of word to positions): the whole record of some documents."""
+        held = self.postings.join(ids.select(F.col(id_col).alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return held.groupBy("doc_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("words"))
+
     def verify(self, source: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
         """severity, location, message of every inconsistency; with source, against the rows themselves."""
         posts, docs = self.postings, self.docs
