@@ -61,14 +61,14 @@ def _pairs(a: str, b: str, on: str) -> str:
     return f"{TOK} SELECT DISTINCT x.doc_id FROM tok x JOIN tok y ON x.doc_id = y.doc_id AND x.t = '{a}' AND y.t = '{b}' AND {on}"
 
 
-def _bm25(words: list[tuple[str, float]], match: str, extra: str = "") -> str:
+def _bm25(words: list[tuple[str, float]] | str, match: str, extra: str = "") -> str:
     """CTEs up to sc(doc_id, score): bit-exact single-precision scores of the documents in `match`."""
     steps = (31288, 14938, 7132, 3405, 1626, 777, 371, 177, 85, 41, 20, 10, 5, 3, 2, 1)
     rep = "CASE " + " ".join(f"WHEN count(*) >= {s} THEN {s}" for s in steps) + " END"
-    names = ", ".join(f"('{w}', CAST({x} AS FLOAT))" for w, x in words)
+    names = words if isinstance(words, str) else "SELECT * FROM (VALUES " + ", ".join(f"('{w}', CAST({x} AS FLOAT))" for w, x in words) + ") v(t, boost)"
     return f"""{TOK},
 hit AS ({match}),
-w AS (SELECT * FROM (VALUES {names}) v(t, boost)),
+w AS (SELECT t, boost FROM ({names}) v(t, boost)),
 st AS (SELECT count(*) AS n, CAST(CAST(sum(n) AS FLOAT) / CAST(count(*) AS FLOAT) AS FLOAT) AS avgdl FROM dl),
 df AS (SELECT t, count(DISTINCT doc_id) AS df FROM tok WHERE t IN (SELECT t FROM w) GROUP BY t),
 m AS (SELECT t, CAST(CAST(greatest(0, ln(1 + (st.n - df + 0.5) / (df + 0.5))) AS FLOAT) * boost AS FLOAT) AS mult FROM df JOIN w USING (t), st),
@@ -404,13 +404,35 @@ def q37_phrase_in_one_field(spark, sf_dir):
     return S.match(_fielded(spark, sf_dir), '"en src3"')
 
 
-@_query()
+#: The words of both fields of `_fielded`, 0 the label and 1 the text, and weighted BM25 over them.
+_BM25F = f"""{TOK},
+ft AS (SELECT doc_id, 1 AS f, t FROM tok UNION ALL SELECT doc_id, 0 AS f, unnest([lower(lang), lower(source)]) AS t FROM documents),
+fl AS (SELECT doc_id, count(*) FILTER (f = 0) AS n0, count(*) FILTER (f = 1) AS n1 FROM ft GROUP BY doc_id),
+w AS (SELECT unnest(['src3', 'trash']) AS t),
+st AS (SELECT count(*) AS n, CAST(CAST(CAST(CAST(2 AS FLOAT) * CAST(sum(n0) AS FLOAT) AS FLOAT) + CAST(sum(n1) AS FLOAT) AS FLOAT) / CAST(count(*) AS FLOAT) AS FLOAT) AS avgdl FROM fl),
+df AS (SELECT t, count(DISTINCT doc_id) AS df FROM ft JOIN w USING (t) GROUP BY t),
+m AS (SELECT t, CAST(greatest(0, ln(1 + (st.n - df + 0.5) / (df + 0.5))) AS FLOAT) AS mult FROM df, st),
+c AS (SELECT doc_id, t, f, count(*) AS n FROM ft JOIN w USING (t) GROUP BY doc_id, t, f),
+r AS (SELECT doc_id, t, f, CAST(list_max(list_filter([1, 2, 3, 5, 10, 20, 41, 85, 177, 371, 777, 1626, 3405, 7132, 14938, 31288], lambda x: x <= n)) AS FLOAT) AS rep FROM c),
+tf AS (SELECT doc_id, t, CAST(coalesce(sum(CAST(2 AS FLOAT) * rep) FILTER (f = 0), 0) + coalesce(sum(rep) FILTER (f = 1), 0) AS FLOAT) AS tf FROM r GROUP BY doc_id, t),
+k AS (SELECT CAST(1.2 AS FLOAT) AS k1, CAST(0.75 AS FLOAT) AS b),
+pt AS (SELECT doc_id, t, CAST(CAST(CAST(mult * tf AS FLOAT) * CAST(k1 + CAST(1 AS FLOAT) AS FLOAT) AS FLOAT)
+  / CAST(CAST(tf + CAST(k1 * CAST(CAST(1 AS FLOAT) - b AS FLOAT) AS FLOAT) AS FLOAT)
+  + CAST(CAST(CAST(k1 * b AS FLOAT) / avgdl AS FLOAT) * CAST(CAST(CAST(2 AS FLOAT) * CAST(n0 AS FLOAT) AS FLOAT) + CAST(n1 AS FLOAT) AS FLOAT) AS FLOAT) AS FLOAT) AS FLOAT) AS s
+  FROM tf JOIN m USING (t) JOIN fl USING (doc_id), st, k)
+SELECT doc_id, list_reduce(list(s ORDER BY t), lambda a, b: CAST(a + b AS FLOAT)) AS score FROM pt GROUP BY doc_id"""
+
+
+@_query(_BM25F)
 def q_weighted_fields(spark, sf_dir):
-    """Weighted multi-field BM25; recorded scores in the tests."""
+    """Weighted multi-field BM25."""
     return S.full_scores(_fielded(spark, sf_dir), "src3 OR trash")
 
 
-@_query()
+_BOTH = "SELECT doc_id FROM tok WHERE t = 'idiot' INTERSECT SELECT doc_id FROM tok WHERE t = 'the'"
+
+
+@_query(_bm25([("idiot", 1), ("the", 1)], _BOTH) + " SELECT a.doc_id, CAST(a.s + b.s AS FLOAT) AS score FROM pt a JOIN pt b USING (doc_id) WHERE a.t = 'idiot' AND b.t = 'the'")
 def q_multi_column_sum(spark, sf_dir):
     index = index_of(spark, sf_dir)
     return S.multi_column_scores([(index, "idiot"), (index, "the")])
@@ -449,7 +471,8 @@ def q_streaming(spark, sf_dir):
 
 
 # Constants
-@_query()
+@_query("""SELECT unnest(string_split('a an the and or but if then else as at by for from in into of on to with is am are was were be been being it its this that these those
+i you he she we they me him her us them my your our their not no do does did have has had can will', ' ')) AS word""".replace("\n", " "))
 def q_stop_words(spark, sf_dir):
     return S.stop_word_table(spark, "en")
 
@@ -458,3 +481,212 @@ def q_stop_words(spark, sf_dir):
 def q_maybe_quote(spark, sf_dir):
     S.register(spark)
     return spark.sql("SELECT word, ql_maybe_quote(word) AS quoted FROM VALUES ('beer'), ('a b'), ('AND') t(word)")
+
+
+# ------------------------------------------------------------------ the language's remaining forms
+_match("q13_phrase_escapes", '"of t\\he"', SQL["q09_phrase"])
+_match("q39_precedence", "trash OR clown AND idiot", _having(f"{_has('trash')} OR {_has('clown')} AND {_has('idiot')}"))
+_match("q40_keywords_in_lower_case", "and trash", _having(f"{_has('and')} AND {_has('trash')}"))
+_match("q32_empty_operand", '("!!" IN FIRST 3 WORDS) OR trash', _having(_has("trash")))
+_match("q23_empty_operand", "* AND NOT ((!!) WITHIN 3)", f"{TOK} SELECT doc_id FROM dl")
+
+
+@_query(_having(f"{_has('trash')} OR {_has('clown')}"))
+def q41_implicit_or(spark, sf_dir):
+    return S.match(index_of(spark, sf_dir), "trash clown", implicit="or")
+
+
+@_query(f"{TOK} SELECT x.doc_id, CAST(count(*) AS INT) AS freq FROM tok x JOIN tok y ON x.doc_id = y.doc_id AND x.t = 'of' AND y.t = 'the' AND y.p = x.p + 1 GROUP BY x.doc_id")
+def q_span_freq(spark, sf_dir):
+    return S.span_freq(index_of(spark, sf_dir), '"of the"')
+
+
+# Scoring terms
+@_query(_bm25([("moron", 1), ("trash", 1)], _any("trash")) + " SELECT doc_id, score FROM sc")
+def q_term_add(spark, sf_dir):
+    return S.scores(index_of(spark, sf_dir), "trash", term_add=["moron"])
+
+
+@_query(_bm25([("clown", 1)], _any("trash")) + " SELECT doc_id, score FROM sc")
+def q_term_replace(spark, sf_dir):
+    return S.scores(index_of(spark, sf_dir), "trash", term_replace=["clown"])
+
+
+@_query(_bm25([("trash", 1)], _any("trash", "clown")) + " SELECT doc_id, score FROM sc")
+def q_score_stop_words(spark, sf_dir):
+    return S.scores(index_of(spark, sf_dir), "trash OR clown", score_stop_words="clown")
+
+
+@_query(_bm25([("clown", 1), ("trash", 2)], _any("clown", "trash")) + " SELECT doc_id, score FROM sc")
+def q_scoring_repeats(spark, sf_dir):
+    return S.full_scores(index_of(spark, sf_dir), "trash OR trash OR clown")
+
+
+@_query(_bm25("SELECT DISTINCT t, CAST(1 AS FLOAT) FROM tok WHERE t LIKE 'worth%'", "SELECT DISTINCT doc_id FROM tok WHERE t LIKE 'worth%'") + " SELECT doc_id, score FROM sc")
+def q_score_expansion(spark, sf_dir):
+    return S.full_scores(index_of(spark, sf_dir), "worth*")
+
+
+@_query(_bm25([("idiot", 1), ("the", 1)], _BOTH) + " SELECT doc_id, score FROM sc")
+def q_clause_scores(spark, sf_dir):
+    return S.clause_scores(index_of(spark, sf_dir), "idiot", "the")
+
+
+@_query(_bm25([("clown", 1), ("idiot", 1), ("trash", 1)], _any("clown", "idiot", "trash")) + """
+SELECT k.key, r.doc_id, r.s AS score, r.rank FROM (SELECT t, doc_id, s, row_number() OVER (PARTITION BY t ORDER BY s DESC, doc_id) AS rank FROM pt) r
+JOIN (VALUES (1, 'idiot'), (2, 'clown'), (3, 'trash')) k(key, t) USING (t) WHERE r.rank <= 3""")
+def h_top_k_of_several_queries(spark, sf_dir):
+    outer = spark.createDataFrame([(1, "idiot"), (2, "clown"), (3, "trash"), (4, None)], "key int, query string")
+    return S.top_k_per(outer, index_of(spark, sf_dir), "query", 3, ["key"], block=2).select("key", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+# Snippets and marks
+def _marked(words: str) -> str:
+    return f"regexp_replace(text, '\\b({words})\\b', '<b>\\1</b>', 'gi')"
+
+
+@_query(_bm25([("clown", 1), ("idiot", 1)], _any("clown", "idiot")) + f" SELECT s.doc_id, score, {_marked('idiot|clown')} AS snippet FROM (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 5) s JOIN documents USING (doc_id)")
+def q_snippet(spark, sf_dir):
+    return S.search(index_of(spark, sf_dir), "idiot OR clown", limit=5, source=table(spark, sf_dir, "documents"))
+
+
+@_query(f"{TOK} SELECT doc_id, {_marked('idiot|trash')} AS snippet FROM documents WHERE doc_id IN ({_any('trash')}) AND doc_id IN ({_any('idiot')})")
+def q_highlight_bound(spark, sf_dir):
+    """Marks of the clauses of the search itself."""
+    return S.hits(index_of(spark, sf_dir), table(spark, sf_dir, "documents"), "trash", "idiot").select("doc_id", "snippet")
+
+
+@_query(f"{TOK} SELECT doc_id, lang || ' <b>src3</b>' AS snippet FROM documents WHERE source = 'src3' AND doc_id IN ({_any('the')})")
+def q_highlight_field(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("label", F.concat_ws(" ", "lang", "source"))
+    return S.hits(_fielded(spark, sf_dir), docs, "label:(src3) AND text:(the)", field="label").select("doc_id", "snippet")
+
+
+@_query(f"{TOK} SELECT doc_id, regexp_replace(text, '\\b(clown)\\b', chr(27) || '[1;35m\\1' || chr(27) || '[0m', 'gi') AS marked FROM documents WHERE doc_id IN ({_any('clown')})")
+def q_highlight_ansi(spark, sf_dir):
+    index, docs = index_of(spark, sf_dir), table(spark, sf_dir, "documents")
+    return docs.join(S.match(index, "clown"), "doc_id", "left_semi").select("doc_id", S.highlight_ansi_column(F.col("text"), "clown").alias("marked"))
+
+
+# Records, generations, faults
+@_query(f"{TOK} SELECT doc_id, t AS term, string_agg(CAST(p AS VARCHAR), ',' ORDER BY p) AS positions FROM tok GROUP BY doc_id, t")
+def q_forward(spark, sf_dir):
+    rows = index_of(spark, sf_dir).forward(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.explode("words").alias("term", "p")).select("doc_id", "term", F.array_join("p", ",").alias("positions"))
+
+
+def _halves(spark, sf_dir) -> Index:
+    docs = table(spark, sf_dir, "documents")
+    return Index.build(docs.where("lang = 'en'"), "text").append(docs.where("lang <> 'en'"))
+
+
+@_query(f"""{TOK}, g AS (SELECT doc_id, CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS gen FROM documents),
+pf AS (SELECT gen, t, doc_id, count(*) AS tf FROM tok JOIN g USING (doc_id) GROUP BY gen, t, doc_id)
+SELECT gen, count(DISTINCT doc_id) AS n_docs, 0 AS n_dead, count(DISTINCT t) AS n_terms, count(*) AS n_postings, CAST(sum(tf) AS BIGINT) AS n_tokens,
+  CAST(min(n) AS INT) AS min_length, CAST(max(n) AS INT) AS max_length, CAST(max(tf) AS INT) AS max_tf FROM pf JOIN dl USING (doc_id) GROUP BY gen""")
+def q_segment_info(spark, sf_dir):
+    return _halves(spark, sf_dir).segment_info()
+
+
+@_query(f"{TOK} SELECT t AS term, count(DISTINCT doc_id) AS df, 2 AS generations FROM tok GROUP BY t")
+def q_tiered_merge(spark, sf_dir):
+    """Four small generations become one beside a large one."""
+    docs = table(spark, sf_dir, "documents")
+    index = Index.build(docs.where("lang = 'en'"), "text")
+    for k in range(4):
+        index = index.append(docs.where((F.col("lang") != "en") & (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == k)))
+    index = index.merge(4)
+    return index.terms.select("term", "df", F.lit(len(index.meta["gens"])).alias("generations"))
+
+
+@_query(f"{TOK} SELECT 'warning' AS severity, 'doc ' || doc_id AS location, 'row has gone or changed' AS message FROM dl JOIN documents USING (doc_id) WHERE source = 'src3'")
+def q_verify_faults(spark, sf_dir):
+    """Rows that have changed behind the index's back."""
+    docs = table(spark, sf_dir, "documents")
+    changed = docs.withColumn("text", F.when(F.col("source") == "src3", F.concat("text", F.lit(" and more"))).otherwise(F.col("text")))
+    return index_of(spark, sf_dir).verify(changed)
+
+
+@_query("""SELECT * FROM (VALUES ('accent_folding', false), ('analysis_version', false), ('case_folding', false), ('dictionary', false), ('graphemes', false), ('long_tokens', false),
+('max_token_bytes', false), ('position_gaps', false), ('tokenizer', true)) v(option, drifted)""")
+def q_index_analysis(spark, sf_dir):
+    from spanlake.functions.analysis import AnalyzerSpec
+
+    return index_of(spark, sf_dir).index_analysis(AnalyzerSpec(tokenizer="whitespace")).select("option", "drifted")
+
+
+# Analysis
+@_query("SELECT doc_id, len(x) AS n, coalesce(list_sum(list_transform(x, lambda w: strlen(w))), 0) AS bytes FROM (SELECT doc_id, regexp_extract_all(text, '[^\\s]+') AS x FROM documents)")
+def q_token_spans(spark, sf_dir):
+    """Places of tokens in the text, in bytes."""
+    from spanlake.functions.analysis import AnalyzerSpec, token_spans
+
+    rows = table(spark, sf_dir, "documents").select("doc_id", token_spans(F.col("text"), AnalyzerSpec(tokenizer="whitespace", max_token_bytes=2692)).alias("x"))
+    return rows.select("doc_id", F.size("x").cast("long").alias("n"), F.aggregate("x", F.lit(0).cast("long"), lambda s, t: s + t["end"] - t["start"]).alias("bytes"))
+
+
+@_query("SELECT * FROM (VALUES (0, '我'), (1, '爱'), (2, '北京'), (3, '天安门'), (4, 'ok'), (5, '天'), (6, '京')) v(pos, token)")
+def q_dictionary_tokenizer(spark, sf_dir):
+    from spanlake.functions.analysis import AnalyzerSpec
+
+    spec = AnalyzerSpec(tokenizer="dictionary").with_words({"北京": 30, "天安门": 10, "安门": 1, "我": 20, "爱": 20})
+    return S.tokenize(spark.createDataFrame([("我爱北京天安门, OK 天京",)], "text string"), "text", spec).select("pos", "token")
+
+
+@_query(f"""{TOK}, tk AS (SELECT doc_id, t, p FROM tok) SELECT CASE WHEN strlen(w) > 8 THEN 'long' ELSE 'whole' END AS kind, count(*) AS n
+FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\s]+')) AS w FROM documents) GROUP BY ALL""")
+def q_long_tokens(spark, sf_dir):
+    """Tokens of whitespace text that a limit of 8 bytes cuts, and those it leaves."""
+    from spanlake.functions.analysis import AnalyzerSpec
+
+    docs, at = table(spark, sf_dir, "documents").select("doc_id", "text"), {}
+    for policy in ("truncate", "discard"):
+        spec = AnalyzerSpec(tokenizer="whitespace", case_folding="preserve", accent_folding="preserve", long_tokens=policy, max_token_bytes=8)
+        at[policy] = S.tokenize(docs, "text", spec).agg(F.count("*").alias(policy))
+    both = at["truncate"].join(at["discard"])  # two rows of totals
+    return both.select(F.explode(F.array(F.struct(F.lit("long").alias("kind"), (F.col("truncate") - F.col("discard")).alias("n")), F.struct(F.lit("whole").alias("kind"), F.col("discard").alias("n")))).alias("x")).select("x.*")
+
+
+@_query("SELECT event_id AS doc_id FROM events WHERE json_extract_string(props, '$.k') = '69'")
+def q_json_index(spark, sf_dir):
+    """An index over an expression: a member of a JSON text."""
+    events = table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+    return S.match(Index.build(events, "k", "event_id"), "69")
+
+
+# Composition
+@_query(f"{TOK} SELECT lang, source, count(*) AS n FROM documents WHERE doc_id IN {_HIT} GROUP BY GROUPING SETS ((lang), (source), ())")
+def h_grouping_sets(spark, sf_dir):
+    found = _found(spark, sf_dir)
+    return found.groupingSets([[F.col("lang")], [F.col("source")], []], F.col("lang"), F.col("source")).agg(F.count("*").alias("n")).select("lang", "source", "n")
+
+
+@_query(f"{TOK} SELECT h.doc_id, n_nationkey FROM {_HIT} h JOIN nation ON h.doc_id < n_nationkey * 10 AND n_regionkey >= 2")
+def h_theta_join(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").where("n_regionkey >= 2")
+    return _hits(spark, sf_dir).join(nation, F.col("doc_id") < F.col("n_nationkey") * 10).select("doc_id", "n_nationkey")
+
+
+# SQL text
+@_query(_bm25([("clown", 1), ("idiot", 1)], _any("clown", "idiot")) + " SELECT s.doc_id, score, source FROM (SELECT * FROM sc ORDER BY score DESC, doc_id LIMIT 10) s JOIN documents USING (doc_id)")
+def q_sql_search(spark, sf_dir):
+    from spanlake.sql import name_index, sql
+
+    name_index("articles", index_of(spark, sf_dir))
+    table(spark, sf_dir, "documents").createOrReplaceTempView("article_rows")
+    return sql(spark, "SELECT s.doc_id, s.score, d.source FROM search('articles', 'idiot OR clown', 10, snippet => 'none') s JOIN article_rows d ON d.doc_id = s.doc_id")
+
+
+@_query("SELECT * FROM (VALUES ('wi', 0, 0, 2), ('fi', 1, 3, 5), ('3.14', 2, 6, 10), ('can''t', 3, 11, 16)) v(token, pos, from_byte, to_byte)")
+def q_sql_tokenize(spark, sf_dir):
+    from spanlake.sql import sql
+
+    return sql(spark, "SELECT token, pos, start AS from_byte, end AS to_byte FROM tokenize('Wi-Fi 3.14 can''t')")
+
+
+@_query(f"{TOK} SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM dl")
+def q_sql_index_stats(spark, sf_dir):
+    from spanlake.sql import name_index, sql
+
+    name_index("articles", index_of(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return sql(spark, "SELECT n_docs, n_tokens FROM index_stats('articles') WHERE NOT EXISTS (SELECT 1 FROM verify_index('articles'))")

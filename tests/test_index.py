@@ -37,15 +37,34 @@ def test_scores_bit_for_bit(spark, drinks):
     assert [r.doc_id for r in S.search(drinks, "wine OR stout^5", snippet="none").collect()] == [4, 2, 1, 6]
 
 
-def test_weighted_fields_bit_for_bit(spark):
-    def rows(data, weights=None):
-        ix = Index.build(spark.createDataFrame(data, "doc_id long, title string, body string"), ["title", "body"], weights=weights, buckets=2, spread=1)
-        return ix
+def fielded(spark, rows, **k):
+    return Index.build(spark.createDataFrame(rows, "doc_id long, title string, body string"), ["title", "body"], buckets=2, spread=1, **k)
 
-    ix = rows([(1, "alpha beta", "other"), (2, "alpha", "beta"), (3, "beta alpha", "pad"), (4, "alpha xx beta", "pad"), (5, None, "needle here"), (6, "needle", None), (7, "pad", "alpha beta")])
+
+@pytest.mark.parametrize("rows, weights, query, want", [
+    ([(1, "needle", "pad"), (2, "pad", "needle"), (3, "needle needle", "pad")], None, "needle", {3: "3e2e071f", 1: "3e113925", 2: "3e113925"}),
+    ([(1, "needle", "pad"), (2, "pad", "needle needle needle")], {"title": 3.0, "body": 1.0}, "needle", {1: "3e99424c", 2: "3e8ca98f"}),
+    ([(1, "needle", "pad"), (2, "pad", "needle"), (3, "needle", "needle")], None, "needle", {3: "3e3c031f", 1: "3e08bc74", 2: "3e08bc74"}),
+    ([(1, "needle", "x"), (2, "needle", "x " * 30)], None, "needle", {1: "3e91be8d", 2: "3e0953d6"}),
+    ([(1, "needle", "x"), (2, "needle", "x " * 30)], None, "title:(needle)", {1: "3e91be8d", 2: "3e0953d6"}),
+])
+def test_weighted_fields_bit_for_bit(spark, rows, weights, query, want):
+    ranked = S.search(fielded(spark, rows, weights=weights), query, snippet="none").collect()
+    assert {r.doc_id: bits(r.score) for r in ranked} == want and [r.doc_id for r in ranked] == list(want)
+
+
+def test_single_column_bit_for_bit(spark):
+    ix = build(spark, ["needle", "needle needle", "pad"])
+    assert [(r.doc_id, bits(r.score)) for r in S.search(ix, "needle", snippet="none").collect()] == [(2, "3f110b5e"), (1, "3f060744")]
+
+
+def test_several_fields(spark):
+    ix = fielded(spark, [(1, "alpha beta", "other"), (2, "alpha", "beta"), (3, "beta alpha", "pad"), (4, "alpha xx beta", "pad"), (5, None, "needle here"), (6, "needle", None), (7, "pad", "alpha beta")])
     assert found(ix, '"alpha beta"') == [1, 7] and found(ix, 'title:("alpha beta")') == [1] and found(ix, "alpha THEN/0 beta") == [1, 7] and found(ix, "* AND NOT title:(*)") == [5]
     with pytest.raises(QueryError):
         S.match(ix, "nope:(x)")
+    both = S.clause_scores(ix, "alpha", "beta")
+    assert {r.doc_id: bits(r.score) for r in both.collect()} == {r.doc_id: bits(r.score) for r in S.full_scores(ix, "alpha AND beta").collect()}
 
 
 def test_highlighting():
@@ -140,3 +159,62 @@ def test_expanding_spans_are_refused():
     compile_query(f"(AT LEAST 23 OF [{words}]) WITHIN 3", Analyzer())
     with pytest.raises(QueryError):
         compile_query(f"((AT LEAST 3 OF [{words}]) NEAR/3 a) NEAR/4 (AT LEAST 4 OF [{' '.join(f'(AT LEAST 2 OF [a{i} b{i} c{i} d{i}])' for i in range(18))}])", Analyzer())
+
+
+def test_merge_by_tiers(spark):
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, body string")
+    ix = Index.build(df([(i, f"red w{i}") for i in range(9)]), "body", buckets=2, spread=1)
+    for k in range(3):
+        ix = ix.append(df([(100 + k, f"red v{k}")]))
+    ix = ix.delete(df([(101, "")])).merge(3)
+    assert len(ix.meta["gens"]) == 2 and found(ix, "red") == [*range(9), 100, 102] and found(ix, "v1") == [] and ix.verify().count() == 0
+    assert ix.merge(3).meta["gens"] == ix.meta["gens"]
+    with pytest.raises(Exception, match="exists"):  # two writers from one version
+        first = ix.append(df([(200, "x")]))
+        ix._save_meta(gens=first.meta["gens"])
+
+
+def test_settings_and_strict_analysis(spark, drinks):
+    spark.conf.set("spanlake.max_expansion_terms", "2")
+    try:
+        with pytest.raises(QueryError, match="more than 2"):
+            S.full_scores(drinks, "b*")
+        assert found(drinks, "b*") == [1, 3, 4, 5, 7]
+        assert S.full_scores(drinks, "brew*").count() == 2
+    finally:
+        spark.conf.unset("spanlake.max_expansion_terms")
+    old = Index(spark, drinks.path, drinks.meta | {"analysis": 0})
+    assert found(old, "beer") == [1, 3, 4, 7] and old.index_analysis().where("drifted").first()["action"] == "rebuild"
+    spark.conf.set("spanlake.strict_analysis", "on")
+    try:
+        with pytest.raises(QueryError, match="rebuild"):
+            S.match(old, "beer")
+        assert found(drinks, "cider") == [8]
+    finally:
+        spark.conf.unset("spanlake.strict_analysis")
+
+
+def test_stream_takes_the_latest_row(spark, tmp_path):
+    from spanlake.streaming.maintain import maintain
+
+    rows = spark.createDataFrame([(1, "old", "put", 1), (1, "new", "put", 2), (2, "gone", "put", 1), (2, None, "delete", 2), (3, None, "delete", 1), (3, "back", "put", 2)], "doc_id long, body string, op string, at int")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    index = Index.build(rows.select("doc_id", "body").limit(0), "body", path=f"file://{tmp_path}/index", buckets=2, spread=1)
+    maintain(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), index.path, f"{tmp_path}/log", op_col="op", order_col="at").awaitTermination()
+    index = Index.open(spark, index.path)
+    assert found(index, "new OR old") == [1] and found(index, "old") == [] and found(index, "gone") == [] and found(index, "back") == [3]
+
+
+def test_sql_table_functions(spark, drinks):
+    from spanlake.sql import name_index, sql
+
+    source = spark.createDataFrame(list(enumerate(DRINKS, 1)), "doc_id long, body string")
+    name_index("drinks", drinks, source)
+    got = sql(spark, "SELECT doc_id, snippet, 'search(''x'')' AS kept FROM search('drinks', 'wine OR stout^5', limit => 2) -- search('drinks')\nORDER BY score DESC").collect()
+    assert [(r.doc_id, r.snippet, r.kept) for r in got] == [(4, "<b>stout</b> beer from the brewery", "search('x')"), (2, "<b>wine</b> only", "search('x')")]
+    assert sql(spark, "SELECT count(*) AS n FROM matches('drinks', 'beer')").first().n == 4
+    assert sql(spark, "SELECT * FROM verify_index('drinks')").count() == 0 and sql(spark, "SELECT word FROM builtin_stop_words('en')").count() == 59
+    assert [r.term for r in sql(spark, "SELECT term FROM score_inspect('drinks', 'cider^2 OR mead') ORDER BY term").collect()] == ["cider", "mead"]
+    for bad in ("SELECT * FROM search('nope', 'x')", "SELECT * FROM search('drinks', 'x', nope => 1)", "SELECT * FROM search('drinks', '(')"):
+        with pytest.raises(QueryError):
+            sql(spark, bad)
