@@ -231,8 +231,11 @@ def set_forest(sets: list[np.ndarray], t: float) -> list[tuple[int, int]]:
     return out
 
 
-def similar(docs: DataFrame, words: int = 4, shingle: int = 5, t: float = 0.8, block: int = 2048) -> DataFrame:
-    """Links (u, v) of fingerprints that connect all texts whose sets of shingles have Jaccard similarity t or more."""
+def similar(docs: DataFrame, words: int = 4, shingle: int = 5, t: float = 0.8, block: int = 2048, most: int = 2_000_000) -> DataFrame:
+    """Links (u, v) of fingerprints that connect all texts whose sets of shingles have Jaccard similarity t or more.
+
+    A component of candidates is dealt out as pairs of blocks of about `block` texts, or fewer where they are long: `most` shingles.
+    """
     texts = docs.select("text").where("text IS NOT NULL")
 
     def sketch(batches):
@@ -241,8 +244,10 @@ def similar(docs: DataFrame, words: int = 4, shingle: int = 5, t: float = 0.8, b
             for x in batch.column("text").cast(pa.binary()) if batch.num_rows else []:
                 data = x.as_py()
                 if parts := data.split():
-                    rows.append((signed(xxhash.xxh64_intdigest(b" ".join(parts).lower(), SEED)), signed(fingerprint(data, words)), bands(shingles(data, shingle))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["sig", "fp", "bands"])
+                    own = shingles(data, shingle)
+                    rows.append((signed(xxhash.xxh64_intdigest(b" ".join(parts).lower(), SEED)), signed(fingerprint(data, words)), len(own), bands(own)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["sig", "fp", "size", "bands"])
 
     def named(batches):
         for batch in batches:
@@ -254,12 +259,14 @@ def similar(docs: DataFrame, words: int = 4, shingle: int = 5, t: float = 0.8, b
         found = set_forest([shingles(x.as_py(), shingle) for x in group.column("text").cast(pa.binary())], t)
         return pa.table({"u": pa.array([fp[a] for a, _ in found], pa.int64()), "v": pa.array([fp[b] for _, b in found], pa.int64())})
 
-    made = settle(texts.mapInArrow(sketch, "sig long, fp long, bands array<long>"), "sketches")
+    made = settle(texts.mapInArrow(sketch, "sig long, fp long, size long, bands array<long>"), "sketches")
     rows = made.select("sig", F.explode("bands").alias("k"))
     full = rows.groupBy("k").agg(F.min("sig").alias("top"), F.max("sig").alias("last")).where("top < last").drop("last")
     roots = components(rows.join(full, "k").select(F.col("sig").alias("u"), F.col("top").alias("v"))).withColumnRenamed("u", "sig")
-    member = roots.unionByName(roots.select(F.col("root").alias("sig"), "root").distinct()).distinct().join(made.groupBy("sig").agg(F.min("fp").alias("fp")), "sig")
-    member = member.join(roots.groupBy("root").agg(F.ceil((F.count("*") + 1) / block).cast("int").alias("nb")), "root")
+    member = roots.unionByName(roots.select(F.col("root").alias("sig"), "root").distinct()).distinct().join(made.groupBy("sig").agg(F.min("fp").alias("fp"), F.min("size").alias("size")), "sig")
+    member = settle(member, "candidates")
+    groups = settle(member.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / most)).cast("int").alias("nb"), F.count("*").alias("n")), "groups")
+    member = look_up(member, groups, ["root"], "n").drop("n", "size")
     held = settle(texts.mapInArrow(named, "sig long, text string").join(member, "sig").dropDuplicates(["sig"]), "members")
     own = F.pmod(F.xxhash64("sig"), F.col("nb")).cast("int")
     parts = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
