@@ -238,7 +238,8 @@ class Analyzer:
 # Latin texts: everything below happens inside the JVM.
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
 _PLAIN = "^[\u0000-\u007f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*$"
-_TOKEN = rf"(?:[{_LETTERS}0-9_]|(?<=[{_LETTERS}])[.:'](?=[{_LETTERS}])|(?<=[0-9])[.,;'](?=[0-9]))+"
+_RUN = f"[{_LETTERS}0-9_]++"
+_TOKEN = rf"{_RUN}(?:(?:(?<=[{_LETTERS}])[.:'](?=[{_LETTERS}])|(?<=[0-9])[.,;'](?=[0-9])){_RUN})*+"
 
 
 def _latin_map(spec: AnalyzerSpec) -> tuple[str, str, str]:
