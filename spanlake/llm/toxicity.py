@@ -106,6 +106,11 @@ class NaiveBayesLinear:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def narrow(n: int):
+    """The type that numbers below n are held in."""
+    return np.uint16 if n <= 1 << 16 else np.int32
+
+
 def _sums(values: np.ndarray, first: np.ndarray, filled: np.ndarray, n: int) -> np.ndarray:
     """Sums of runs of values that begin at first; filled: which of the n sums have a run."""
     out = np.zeros(n, np.float32)
@@ -122,10 +127,9 @@ def fit_linear(rows: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float =
     if not n or not p or y.min() == y.max():
         return w, b
     size, at = np.array([len(x) for x in rows]), np.concatenate(rows)
-    own = np.repeat(np.arange(n, dtype=np.int32), size)
     scale = (r / np.abs(r).max()).astype(np.float32)
-    turned = np.argsort(at, kind="stable")  # the same places by feature
-    by_feature, times = own[turned], np.bincount(at, minlength=p)
+    by_feature = np.repeat(np.arange(n, dtype=narrow(n)), size)[np.argsort(at, kind="stable")]  # the rows of each feature
+    times = np.bincount(at, minlength=p)
     (docs,), (used,) = np.nonzero(size), np.nonzero(times)
     at_docs, at_used = (size.cumsum() - size)[docs], (times.cumsum() - times)[used]
     rate = 4 / (float(_sums((scale ** 2)[at], at_docs, docs, n).max()) + 1 + l2)
@@ -167,17 +171,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep=None, m
     chosen = sums.where("bucket >= 0").join(total).select("bucket", ratio.alias("r"), (F.abs(ratio) / error).alias("z")).where(F.col("z") >= z).select("bucket", "r").orderBy("bucket").toPandas()  # 2**BITS rows at most
     buckets, r = chosen["bucket"].to_numpy(np.int64), chosen["r"].to_numpy(float)
     model = NaiveBayesLinear(buckets, r, 0.0)
-    shared = docs.sparkSession.sparkContext.broadcast(model.index())
+    shared, kind = docs.sparkSession.sparkContext.broadcast(model.index()), narrow(len(r))
 
     def featured(batches):
         grams = Grams(shared.value)
-        for batch in batches:
-            got = grams.of(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in got], pa.binary()), batch.column("y")], names=["x", "y"])
-
-    sample = rows.mapInArrow(featured, "x binary, y int").collect()  # max_rows rows at most
-    sample.sort(key=lambda s: (bytes(s["x"]), s["y"]))
-    x, y = [np.frombuffer(s["x"], np.int32) for s in sample], np.array([s["y"] > 0 for s in sample], float)
+        for part in (part for batch in batches for part in parts_of(batch, "text", 8 << 20, 1_000)):
+            got = grams.of(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes() for x in got], pa.binary()), part.column("y")], names=["x", "y"])
+
+    sample = rows.mapInArrow(featured, "x binary, y int").toArrow()  # max_rows rows at most
+    sample = sorted(zip(sample.column("x").to_pylist(), sample.column("y").to_pylist()))
+    x, y = [np.frombuffer(b, kind) for b, _ in sample], np.array([k > 0 for _, k in sample], float)
+    del sample
     unseen, fold = np.zeros(len(y)), np.arange(len(y)) % 2
     for k in (0, 1):
         w, b = fit_linear([x[i] for i in np.flatnonzero(fold != k)], y[fold != k], r)
