@@ -6,6 +6,7 @@ to right in the order of the terms' bytes, so scores are reproducible bit for bi
 
 from __future__ import annotations
 
+import copy
 import math
 from dataclasses import dataclass, field
 
@@ -94,6 +95,12 @@ def frequencies(index: Index, terms: list[str]) -> dict[str, int]:
     return {r["term"]: r["df"] for r in rows.select("term", "df").collect()}
 
 
+def largest_tf(index: Index, terms: list[str]) -> dict[str, int]:
+    """Largest frequency of each term in a document, from the dictionary."""
+    rows = index.terms.where(F.col("bucket").isin(index.bucket_numbers(terms)) & F.col("term").isin(terms))
+    return {r["term"]: r["max_tf"] for r in rows.select("term", "max_tf").collect()}
+
+
 def stop_words(index: Index, setting: str | None) -> set[str]:
     """Literal terms, or the words of a preset that are one token in the index's analysis."""
     if not setting:
@@ -135,6 +142,54 @@ def scores(index: Index, query: str, full: bool = True, k1: float = 1.2, b: floa
     return _ranked(index, compile_query(query, index.analyzer), w, df, k1, b)
 
 
+def top_scores(index: Index, query: str, k: int, full: bool = True, k1: float = 1.2, b: float = 0.75, above: int = 100_000, **edits) -> DataFrame:
+    """doc_id, score of documents that match, the k best among them.
+
+    Where any of several words makes a match, and their postings are more than
+    `above`, the rarest words' documents are scored first.  Words whose largest
+    possible scores together stay below the k-th of those can't bring a document
+    there alone: their postings are read for documents of the other words only.
+    """
+    if not 0 <= k1 <= 10_000 or not 0 <= b <= 1:
+        raise QueryError("k1 must be between 0 and 10000, b between 0 and 1")
+    w, df = scoring_terms(index, query, full, **edits)
+    q = compile_query(query, index.analyzer)
+    plain = lambda x: x[0] == "term" or x[0] == "boost" and x[2][0] == "term"
+    used = sorted((t for t in w.terms if df.get(t, 0) > 0), key=lambda t: (df[t], t))
+    if not (k > 0 and q[0] == "disj" and q[1] == 1 and all(map(plain, q[2])) and len(index.fields) == 1 and 2 <= len(used) <= FEW_SCORED and sum(df[t] for t in used) > above):
+        return _ranked(index, q, w, df, k1, b)
+    n, most = index.totals[0], largest_tf(index, used)
+
+    def bound(t):
+        tf = max(x for x in TF_STEPS if x <= max(1, most[t]))
+        return max(0.0, float(idf(n, df[t])) * float(w.terms[t])) * (k1 + 1) * tf / (tf + k1 * (1 - b)) * (1 + 1e-5)  # a document of no length; rounding
+
+    first, seen = [], 0
+    for t in used:
+        if seen >= 10 * k:
+            break
+        first.append(t)
+        seen += df[t]
+    part = Weights({t: w.terms[t] for t in first}, set(), {t: w.fields[t] for t in first})
+    best = _ranked(index, ("disj", 1, [("term", t) for t in first]), part, df, k1, b).orderBy(F.desc("score"), "doc_id").limit(k).collect()
+    if len(best) < k:
+        return _ranked(index, q, w, df, k1, b)
+    least, sum_of, aside = float(best[-1]["score"]), 0.0, []
+    for t in sorted(used, key=lambda t: (bound(t), t)):
+        sum_of += bound(t)
+        if sum_of >= least or len(aside) == len(used) - 1:
+            break
+        aside.append(t)
+    matched = {(x if x[0] == "term" else x[2])[1] for x in q[2]}
+    if not aside or any(w.terms[t] < 0 for t in used):
+        return _ranked(index, q, w, df, k1, b)
+    wanted = sorted(set(used) - set(aside))
+    sub = copy.copy(index)
+    held = select_postings(index, wanted)
+    sub.__dict__["postings"] = held.unionByName(select_postings(index, aside).join(held.select("doc_id").distinct(), "doc_id", "left_semi"))
+    return _ranked(sub, ("disj", 1, [("term", t) for t in sorted(matched & set(used))]), w, df, k1, b)
+
+
 def scores_of_all(index: Index, queries: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """doc_id, score of the documents that match all queries (clauses on one column), scored as one query of all their words."""
     found = Weights()

@@ -76,7 +76,10 @@ def search(index: Index, query: str, limit: int | None = 10, offset: int = 0, sn
         raise QueryError("search needs a query, a limit and an offset that aren't negative")
     if snippet not in ("html", "ansi", "none"):
         raise QueryError("snippet must be html, ansi or none")
-    ranked = _score.scores(index, query, full=full, k1=k1, b=b)
+    if limit is None or where is not None:
+        ranked = _score.scores(index, query, full=full, k1=k1, b=b)
+    else:
+        ranked = _score.top_scores(index, query, offset + limit, full, k1, b)
     if where is not None:
         ok = source.where(where).select(F.col(id_col).alias("doc_id"))
         ranked = ranked.join(ok, "doc_id", "left_semi")

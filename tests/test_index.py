@@ -218,3 +218,17 @@ def test_sql_table_functions(spark, drinks):
     for bad in ("SELECT * FROM search('nope', 'x')", "SELECT * FROM search('drinks', 'x', nope => 1)", "SELECT * FROM search('drinks', '(')"):
         with pytest.raises(QueryError):
             sql(spark, bad)
+
+
+def test_pruned_top_k_equals_the_whole(spark):
+    from spanlake.operators import score
+
+    r = random.Random(21)
+    texts = [" ".join(["the"] * r.randint(1, 5) + r.choices(["of", "and", "red", "green"], k=r.randint(0, 6)) + ["rare"] * (i % 40 == 0) + ["odd"] * (i % 25 == 0)) for i in range(500)]
+    ix = build(spark, texts)
+    for query in ("the OR rare", "the OR of OR rare OR odd", "odd^3 OR red OR the", "rare OR odd", "the^0 OR rare", "of OR and OR red OR green", "[the rare zz]"):
+        for k in (1, 5, 12, 30):
+            want = [(x.doc_id, x.score) for x in S.full_scores(ix, query).orderBy(score.F.desc("score"), "doc_id").limit(k).collect()]
+            got = score.top_scores(ix, query, k, above=0)
+            assert [(x.doc_id, x.score) for x in got.orderBy(score.F.desc("score"), "doc_id").limit(k).collect()] == want, (query, k)
+    assert score.top_scores(ix, "the OR rare", 5, above=0).count() == 13  # documents of the frequent word alone are left out
