@@ -135,7 +135,7 @@ def slow_lines(rows):
     return want
 
 
-def test_line_dedup(spark, odd, none):
+def test_line_dedup(spark, odd, none, monkeypatch):
     r = random.Random(2)
     base = [prose(r, 14).split() for _ in range(5)] + [prose(r, 140).split(), ["click", "here", "to", "subscribe", "now"], ["a", "b", "c", "d"]]
     rows = []
@@ -147,8 +147,11 @@ def test_line_dedup(spark, odd, none):
     want = {(rows[k][0], j) for k, j in slow_lines(rows)}
     assert {(71, 3), (80, 0), (82, 0), (83, 0)} <= want and not {(70, 0), (70, 1), (81, 0)} & want
     df = docs(spark, rows)
-    for near in (1, 4):
+    for near, few in ((1, None), (4, 1)):  # few: beyond what is broadcast
+        if few:
+            monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", few)
         assert {tuple(x) for x in line_dedup.duplicate_lines(df.select("doc_id", "text"), near=near).collect()} == want
+    monkeypatch.undo()
     out = {x.doc_id: x for x in line_dedup.line_dedup(df).collect()}
     for i, t in rows:
         kept = "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in want)
