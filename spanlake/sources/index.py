@@ -138,6 +138,9 @@ class Index:
     def _write(self, df: DataFrame, id_col: str, gen: int, gens: list[int]) -> Index:
         spec, own = self.analyzer.spec, range(len(self.fields))
         rows = df.select(F.col(id_col).alias("doc_id"), *(F.col(f).alias(f"x{i}") for i, f in enumerate(self.fields)))
+        cores = self.spark.sparkContext.defaultParallelism
+        if rows._jdf.rdd().getNumPartitions() < cores and self.meta["buckets"] <= cores:  # few splits of a small input would leave cores idle
+            rows = rows.repartition(cores)
         none = F.lit(None).cast("array<string>")
         native = [latin_words(F.col(f"x{i}"), spec) for i in own]
         rows = rows.select("*", *((none if w is None else w).alias(f"w{i}") for i, w in enumerate(native)))
