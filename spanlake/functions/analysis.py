@@ -97,6 +97,14 @@ def _is_emoji(g: str) -> bool:
     return not g.isascii() and _EMOJI.match(g) is not None
 
 
+# Texts of ASCII and Latin letters: one pattern finds their words, in the JVM as here.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+_PLAIN = "^[\u0000-\u007f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*$"
+_RUN = f"[{_LETTERS}0-9_]++"
+_TOKEN = rf"{_RUN}(?:(?:(?<=[{_LETTERS}])[.:'](?=[{_LETTERS}])|(?<=[0-9])[.,;'](?=[0-9])){_RUN})*+"
+_IS_PLAIN, _PLAIN_TOKEN, _PLAIN_WORD = re.compile(_PLAIN[:-1] + r"\Z"), re.compile(_TOKEN), re.compile(f"[{_LETTERS}0-9]")
+
+
 _HAN = regex.compile(r"\p{Han}+")
 
 
@@ -172,6 +180,9 @@ class Analyzer:
 
     def _unicode(self, text: str):
         mode, out, gap = self.spec.graphemes, [], 0
+        if mode != "retain" and _IS_PLAIN.match(text):
+            found = ((m[0], m.start(), m.end(), "word") for m in _PLAIN_TOKEN.finditer(text))
+            return [x for x in found if "_" not in x[0] or _PLAIN_WORD.search(x[0])]
         # Apostrophes join as full stops do; the library's rule for vowels behind them isn't Unicode's.
         bounds = [m.start() for m in _WORD_BREAK.finditer(text.translate(_QUOTES))]
         if not bounds or bounds[0] != 0:
@@ -235,13 +246,6 @@ class Analyzer:
         return out + [held] if held else out
 
 
-# Latin texts: everything below happens inside the JVM.
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
-_PLAIN = "^[\u0000-\u007f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]*$"
-_RUN = f"[{_LETTERS}0-9_]++"
-_TOKEN = rf"{_RUN}(?:(?:(?<=[{_LETTERS}])[.:'](?=[{_LETTERS}])|(?<=[0-9])[.,;'](?=[0-9])){_RUN})*+"
-
-
 def _latin_map(spec: AnalyzerSpec) -> tuple[str, str, str]:
     """Characters, what they fold to, and those that fold to several."""
     fold = Analyzer(spec).fold
