@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from spanlake.llm.common import id_text, parts_of, table
 
 _M = (1 << 64) - 1
-CACHE_BYTES = 24 << 20  # of pre-tokens a worker remembers
+CACHE_BYTES = 80 << 20  # of pre-tokens a worker remembers in each of two generations
 CACHED = 64  # bytes; longer pre-tokens are rare and are not remembered
 PART = 50_000  # pre-tokens of a text that are held at once
 BATCH_TEXT, BATCH_ROWS = 4 << 20, 1_000  # characters and rows of one batch of results
@@ -91,11 +91,12 @@ class Codec:
         self.entries, self.pattern = entries, pattern
         self.hash = PerfectHash(entries)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
         self.ready = None
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("pair", "byte_id")} | {"cache": {}, "held": 0, "ready": None}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pair", "byte_id")} | {"cache": {}, "older": {}, "held": 0, "ready": None}
 
     def start(self) -> None:
         if self.ready is None:
@@ -144,12 +145,13 @@ class Codec:
             return b"".join(map(cache.__getitem__, tokens))
         except KeyError:
             pass
-        if self.held > CACHE_BYTES:  # bounds a worker's memory
-            cache.clear()
-            self.held = 0
+        if self.held > CACHE_BYTES:  # bounds a worker's memory; what is used again stays
+            self.older, self.cache, self.held = cache, {}, 0
+            cache = self.cache
+        older = self.older.get
         for t in set(tokens):
             if t not in cache:
-                ids = self.pretoken(t)
+                ids = older(t) or self.pretoken(t)
                 if len(t) > CACHED:
                     strange[t] = ids
                 else:
