@@ -70,8 +70,8 @@ def select_postings(index: Index, terms: list[str]) -> DataFrame:
     posts = index.postings
     if len(terms) <= FEW:
         return posts.where(F.col("bucket").isin(index.bucket_numbers(terms)) & F.col("term").isin(terms)) if terms else posts.where(F.lit(False))
-    named = index.spark.createDataFrame([(t,) for t in terms], "term string")  # at most MAX_TERMS a leaf
-    return posts.join(F.broadcast(named), "term", "left_semi")
+    named = index.spark.createDataFrame([(index.bucket_number(t), t) for t in terms], "bucket int, term string")  # at most MAX_TERMS a leaf
+    return posts.join(F.broadcast(named), ["bucket", "term"], "left_semi")  # by bucket too, so that other folders aren't read
 
 
 class Plan:
@@ -269,8 +269,8 @@ class Plan:
             for k, leaf in enumerate(self.leaves):
                 for t in found[leaf]:
                     of[t].append(k)
-            table = index.spark.createDataFrame(list(of.items()), "term string, ks array<int>")
-            posts = posts.join(F.broadcast(table), "term")  # at most MAX_TERMS a leaf
+            table = index.spark.createDataFrame([(index.bucket_number(t), t, ks) for t, ks in of.items()], "bucket int, term string, ks array<int>")
+            posts = index.postings.join(F.broadcast(table), ["bucket", "term"])  # at most MAX_TERMS a leaf
             is_leaf = {leaf: F.array_contains("ks", k) for k, leaf in enumerate(self.leaves)}
         else:
             is_leaf = {leaf: term_condition(leaf, F.col("term")) if leaf in wide or leaf[0] == "term" else F.col("term").isin(found[leaf]) for leaf in self.leaves}

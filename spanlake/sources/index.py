@@ -246,10 +246,13 @@ class Index:
             return rows.drop("gen")
         return rows.groupBy("bucket", "term").agg(F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"))
 
+    def bucket_number(self, term: str) -> int:
+        """A term's bucket, as bucket_of gives it."""
+        h = xxhash.xxh64_intdigest(term.encode(), 42)
+        return (h - (1 << 64) if h >> 63 else h) % self.meta["buckets"]
+
     def bucket_numbers(self, terms: list[str]) -> list[int]:
-        """The buckets of some terms, as bucket_of gives them."""
-        hashes = (xxhash.xxh64_intdigest(t.encode(), 42) for t in terms)
-        return sorted({(h - (1 << 64) if h >> 63 else h) % self.meta["buckets"] for h in hashes})
+        return sorted({self.bucket_number(t) for t in terms})
 
     @cached_property
     def totals(self) -> tuple[int, int, list[int]]:

@@ -232,3 +232,9 @@ def test_pruned_top_k_equals_the_whole(spark):
             got = score.top_scores(ix, query, k, above=0)
             assert [(x.doc_id, x.score) for x in got.orderBy(score.F.desc("score"), "doc_id").limit(k).collect()] == want, (query, k)
     assert score.top_scores(ix, "the OR rare", 5, above=0).count() == 13  # documents of the frequent word alone are left out
+
+
+def test_wide_expansions(spark):
+    ix = build(spark, [f"w{i} w{i + 1} x" for i in range(3000)])
+    assert S.match(ix, "w*").count() == 3000 and S.match(ix, "w* AND NOT w1").count() == 2998 and S.match(ix, 'w1500 THEN/0 w*').count() == 1
+    assert S.full_scores(ix, "w1*").where("score > 0").count() == S.match(ix, "w1*").count() == 1115
