@@ -24,3 +24,11 @@ def ship(spark) -> None:
                     z.write(at, os.path.join("spanlake", os.path.relpath(at, here)))
     spark.sparkContext.addPyFile(path)
     _shipped.add(app)
+
+
+def ship_active() -> None:
+    """ship() for the session in use, where there is one: for functions that make Columns only."""
+    from pyspark.sql import SparkSession
+
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)

@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from spanlake import ship_active
+
 
 class AnalysisError(ValueError):
     pass
@@ -277,6 +279,7 @@ def is_latin(text: Column, words: Column, spec: AnalyzerSpec) -> Column:
 
 def token_spans(text: Column, spec: AnalyzerSpec | None = None) -> Column:
     """array<struct<text, pos, start, end, kind>>: tokens with their places in the text, in UTF-8 bytes, ends exclusive."""
+    ship_active()
     analyzer = Analyzer(spec)
 
     @F.pandas_udf("array<struct<text: string, pos: int, start: int, end: int, kind: string>>")
@@ -294,6 +297,7 @@ def token_spans(text: Column, spec: AnalyzerSpec | None = None) -> Column:
 
 def token_column(text: Column, spec: AnalyzerSpec | None = None) -> Column:
     """array<struct<text string, pos int>> of a text column; null where the text is."""
+    ship_active()
     spec = spec or AnalyzerSpec()
     analyzer = Analyzer(spec)
 

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanlake import ship, ship_active
 from spanlake.functions.analysis import Analyzer, AnalyzerSpec, builtin_stop_words, token_column
 from spanlake.operators import evaluate as _evaluate
 from spanlake.operators import highlight as _highlight
@@ -145,6 +146,7 @@ def top_k_per(outer: DataFrame, index: Index, query_col: str, k: int, key_cols:
 # ------------------------------------------------------------------ highlights
 def snippet_column(index: Index, query: str, kind: str = "html", begin: str = "<b>", end: str = "</b>", field: str | None = None) -> Column:
     """Snippet of the index's text columns: the given field, else the first with a mark, else the first not null."""
+    ship_active()
     fields, analyzer = index.fields, index.analyzer
     if field is not None and field not in fields:
         raise QueryError(f"unknown field {field!r}")
@@ -176,6 +178,7 @@ def hits(index: Index, source: DataFrame, *queries: str, id_col: str = "doc_id",
 
 
 def highlight_column(text: Column, query: str | None, begin: str = "<b>", end: str = "</b>", spec: AnalyzerSpec | None = None) -> Column:
+    ship_active()
     analyzer = Analyzer(spec)
 
     @F.pandas_udf("string")
@@ -186,6 +189,7 @@ def highlight_column(text: Column, query: str | None, begin: str = "<b>", end: s
 
 
 def highlight_ansi_column(text: Column, query: str | None, wrap_to: int | None = None, spec: AnalyzerSpec | None = None) -> Column:
+    ship_active()
     if wrap_to is not None and wrap_to <= 0:
         raise QueryError("wrap_to must be positive")
     analyzer = Analyzer(spec)
@@ -200,6 +204,7 @@ def highlight_ansi_column(text: Column, query: str | None, wrap_to: int | None =
 # ---------------------------------------------------- without an index, and SQL
 def matches_column(text: Column, query: str, spec: AnalyzerSpec | None = None) -> Column:
     """text ==> query, row by row; null texts give null."""
+    ship_active()
     analyzer = Analyzer(spec)
     q = compile_query(query, analyzer)
 
@@ -230,6 +235,7 @@ def capabilities() -> str:
 
 def register(spark: SparkSession) -> None:
     """SQL functions: ql_matches, ql_highlight, ql_highlight_ansi, ql_tokenize, ql_maybe_quote, ql_parse, ql_capabilities, ql_version."""
+    ship(spark)
     a = Analyzer()
 
     @F.pandas_udf("boolean")
@@ -264,6 +270,7 @@ def register(spark: SparkSession) -> None:
 
 def correlated(df: DataFrame, text_col: str, query_col: str, spec: AnalyzerSpec | None = None) -> Column:
     """text ==> query where the query is a column of the row."""
+    ship_active()
     a = Analyzer(spec)
 
     @F.pandas_udf("boolean")
