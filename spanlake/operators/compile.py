@@ -24,6 +24,7 @@ from spanlake.sources.index import Index
 
 MAX_TERMS = 65_536
 FEW = 1_000
+PRUNE_ABOVE = 100_000  # documents; smaller indexes don't ask the dictionary which word is rarest
 
 
 def java_regex(p: str) -> str:
@@ -263,7 +264,7 @@ class Plan:
         if wide:
             posts = index.postings.where(reduce(operator.or_, [term_condition(x, F.col("term")) for x in wide]) | F.col("term").isin(terms))
         else:
-            posts = select_postings(index, terms)
+            posts = select_postings(index, terms) if many or whole or len(terms) < 2 or index.totals[0] <= PRUNE_ABOVE else self._by_rarest(terms)
         if many and not wide:
             of: dict[str, list[int]] = {t: [] for t in terms}
             for k, leaf in enumerate(self.leaves):
@@ -287,6 +288,42 @@ class Plan:
             rows = rows.where(self.truth(self.q, every, self.rough))
         return rows
 
+    def _by_rarest(self, terms: list[str]) -> DataFrame:
+        """Postings of terms, those of the others only for documents of the rarest word that a match must have, where it is much rarer."""
+        needed = {leaf[1] for leaf in self.required(self.q) if leaf[0] == "term"}
+        df = self.index.frequencies(terms) if needed else {}
+        rare = min(needed, key=lambda t: (df.get(t, 0), t), default=None)
+        if rare is None or df.get(rare, 0) * 10 > sum(df.values()):
+            return select_postings(self.index, terms)
+        held = select_postings(self.index, [rare])
+        others = select_postings(self.index, [t for t in terms if t != rare])
+        return held.unionByName(others.join(held.select("doc_id").distinct(), "doc_id", "left_semi"))
+
+    def required(self, q: tuple) -> set:
+        """Leaves that every matching document has."""
+        kind = q[0]
+        if kind == "conj":
+            return set().union(*map(self.required, q[1]))
+        if kind == "disj":
+            parts = [self.required(x) for x in q[2]]
+            return set.intersection(*parts) if q[1] == 1 else set().union(*parts) if q[1] == len(parts) else set()
+        if kind in ("boost", "field"):
+            return self.required(q[2])
+        if kind == "span":
+            return self._required_span(q[1])
+        return set() if kind in ("not", "all", "none") else {q}
+
+    def _required_span(self, n: tuple) -> set:
+        kind = n[0]
+        if kind == "leaf":
+            return {n[1]}
+        if kind == "rel" and n[1] in ("ncontain", "nwithin", "noverlap"):
+            return self._required_span(n[2])
+        parts = [self._required_span(c) for c in span_children(n)]
+        if kind == "or" or kind == "atleast" and n[1] == 1:
+            return set.intersection(*parts)
+        return set().union(*parts) if kind != "atleast" or n[1] == len(parts) else set()
+
     def _scoped_all(self, q: tuple) -> bool:
         return any(self._scoped_all(x) for x in (q[1] if q[0] == "conj" else q[2] if q[0] == "disj" else [q[1]] if q[0] == "not" else [q[2]] if q[0] in ("boost", "field") else [])) or q == ("all",)
 

@@ -84,17 +84,6 @@ def _collect(index: Index, q: tuple) -> Weights:
     return out
 
 
-def frequencies(index: Index, terms: list[str]) -> dict[str, int]:
-    """Document frequency of each term, from the dictionary."""
-    if len(terms) <= 1000:
-        if not terms:
-            return {}
-        rows = index.terms.where(F.col("bucket").isin(index.bucket_numbers(terms)) & F.col("term").isin(terms))
-    else:
-        rows = index.terms.join(F.broadcast(index.spark.createDataFrame([(t,) for t in terms], "term string")), "term", "left_semi")  # at most MAX_TERMS
-    return {r["term"]: r["df"] for r in rows.select("term", "df").collect()}
-
-
 def largest_tf(index: Index, terms: list[str]) -> dict[str, int]:
     """Largest frequency of each term in a document, from the dictionary."""
     rows = index.terms.where(F.col("bucket").isin(index.bucket_numbers(terms)) & F.col("term").isin(terms))
@@ -123,7 +112,7 @@ def scoring_terms(index: Index, query: str, full: bool = False, dense_ratio: flo
             if t not in w.terms:
                 w.add(t, f32(1), True, range(len(index.fields)))
             w.pinned.add(t)
-    df = frequencies(index, sorted(w.terms))
+    df = index.frequencies(sorted(w.terms))
     if not full:
         n, stop = index.totals[0], stop_words(index, score_stop_words)
         ratio = float(f32(dense_ratio))
@@ -197,7 +186,7 @@ def scores_of_all(index: Index, queries: list[str], k1: float = 1.2, b: float =
         one, _ = scoring_terms(index, query, True)
         for t, weight in one.terms.items():
             found.add(t, weight, t in one.pinned, one.fields[t])
-    return _ranked(index, ("conj", [compile_query(q, index.analyzer) for q in queries]), found, frequencies(index, sorted(found.terms)), k1, b)
+    return _ranked(index, ("conj", [compile_query(q, index.analyzer) for q in queries]), found, index.frequencies(sorted(found.terms)), k1, b)
 
 
 def _ranked(index: Index, q: tuple, w: Weights, df: dict[str, int], k1: float, b: float) -> DataFrame:

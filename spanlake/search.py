@@ -59,7 +59,7 @@ def count(index: Index, query: str) -> int:
     """Exact number of matching live documents; one word's comes from the dictionary where nothing is dead."""
     q = compile_query(query, index.analyzer)
     if q[0] == "term" and not index.meta.get("dead"):
-        return _score.frequencies(index, [q[1]]).get(q[1], 0)
+        return index.frequencies([q[1]]).get(q[1], 0)
     if q == ("all",) and not index.meta.get("dead"):
         return index.totals[0]
     return matching(index, q).count()

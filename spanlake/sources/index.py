@@ -254,6 +254,17 @@ class Index:
     def bucket_numbers(self, terms: list[str]) -> list[int]:
         return sorted({self.bucket_number(t) for t in terms})
 
+    def frequencies(self, terms: list[str]) -> dict[str, int]:
+        """Document frequency of each term, from the dictionary; dead documents count until compact()."""
+        if not terms:
+            return {}
+        if len(terms) <= 1000:
+            rows = self.terms.where(F.col("bucket").isin(self.bucket_numbers(terms)) & F.col("term").isin(terms))
+        else:
+            named = self.spark.createDataFrame([(self.bucket_number(t), t) for t in terms], "bucket int, term string")
+            rows = self.terms.join(F.broadcast(named), ["bucket", "term"], "left_semi")  # as many as a query has
+        return {r["term"]: r["df"] for r in rows.select("term", "df").collect()}
+
     @cached_property
     def totals(self) -> tuple[int, int, list[int]]:
         """N, total length, lengths by field: one row per generation is read."""

@@ -78,9 +78,17 @@ def test_highlighting():
         highlight_ansi("x", 0, "x")
 
 
-def test_compiled_plans_equal_the_evaluator(spark):
+@pytest.mark.parametrize("prune", [False, True])
+def test_compiled_plans_equal_the_evaluator(spark, prune, monkeypatch):
+    from spanlake.operators import compile as C
+
+    if prune:  # by the rarest word that a match must have
+        monkeypatch.setattr(C, "PRUNE_ABOVE", 0)
     r, words, a = random.Random(3), ["a", "b", "c", "d", "ab", "abc"], Analyzer()
     texts = [" ".join(r.choices(words, k=r.randint(0, 9))) for _ in range(60)] + [None, "...", "a"]
+    if prune:
+        r = random.Random(4)
+        texts = [" ".join(r.choices(words, [9, 9, 9, 9, 9, 0.3], k=r.randint(0, 9))) for _ in range(150)] + ["abc a b", "b abc"]
     index = build(spark, texts)
 
     def any_query(depth):
