@@ -81,7 +81,7 @@ class Plan:
         self.fields = list(range(len(index.fields)))
         self.flags: dict = {}
         self.places: dict = {}
-        self.uses_docs = False
+        self.uses_docs = self.solves = False
         self._visit(q, tuple(self.fields))
         self.leaves = list(dict.fromkeys([k[0] for k in self.flags] + [k[0] for k in self.places]))
 
@@ -109,6 +109,7 @@ class Plan:
                 for f in scope:
                     self.places.setdefault((leaf, f), f"p{len(self.places)}")
             self.uses_docs |= self._needs_length(q[1])
+            self.solves |= not self._is_native(q[1])
         elif kind != "none":
             self.flags.setdefault((q, scope), f"b{len(self.flags)}")
 
@@ -278,6 +279,8 @@ class Plan:
         inside = lambda fs: F.lit(True) if len(fs) == len(self.fields) else F.col("field").isin(list(fs))
         aggs = [F.max(is_leaf[leaf] & inside(scope)).alias(name) for (leaf, scope), name in self.flags.items()]
         aggs += [F.flatten(F.collect_list(F.when(is_leaf[leaf] & inside((f,)), F.col("positions")))).alias(name) for (leaf, f), name in self.places.items()]
+        if self.solves:  # the solver's work isn't seen in the size of its input: keep all partitions
+            posts = posts.repartition(int(index.spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
         rows = posts.groupBy("doc_id").agg(*aggs, *(c.alias(name) for name, c in more.items()))
         if whole:
             rows = docs.join(rows, "doc_id", "left")
