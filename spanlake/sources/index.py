@@ -40,7 +40,8 @@ from spanlake.sources.scratch import shared_dir
 POSTINGS = "term string, doc_id {id}, field int, positions array<int>, tf int, dl int, gen int, bucket int"
 TERMS = "term string, df long, max_tf int, gen int, bucket int"
 FILE_BYTES = 32 << 20  # of input for one file of postings
-MOST_FILES = 65_536
+MOST_FILES = 1 << 18
+UNKNOWN = 1 << 55  # what Spark takes for the size of rows that aren't from a table
 ANALYSIS = 1  # goes up when the same options give other tokens
 STATS = "n_docs long, total_length long, field_totals array<long>, gen int"
 DEAD = "doc_id {id}, upto int, gen int"
@@ -100,7 +101,8 @@ class Index:
         """Index the text columns `fields` (1 to 16) of df; id_col identifies rows.
 
         Null and empty documents are left out.  Null ids are refused by verify().
-        buckets * spread files are written; by default one for each 32 MB of df.
+        buckets * spread files are written; by default one for each 32 MB
+        of df, or as many as there are shuffle partitions where its size isn't known.
         """
         fields = [fields] if isinstance(fields, str) else list(fields)
         if not 1 <= len(fields) <= 16:
@@ -115,7 +117,8 @@ class Index:
         path = path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         if buckets is None:
             size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-            buckets = max(2, -(-min(size // FILE_BYTES, MOST_FILES) // spread))
+            files = size // FILE_BYTES if size < UNKNOWN else int(spark.conf.get("spark.sql.shuffle.partitions"))
+            buckets = max(2, -(-min(files, MOST_FILES) // spread))
         meta = {
             "analyzer": (spec or AnalyzerSpec()).to_dict(), "analysis": ANALYSIS, "fields": fields, "weights": [float(weights.get(f, 1.0)) for f in fields],
             "buckets": buckets, "spread": spread, "id": df.schema[id_col].dataType.simpleString(), "gens": [],

@@ -246,3 +246,8 @@ def test_wide_expansions(spark):
     ix = build(spark, [f"w{i} w{i + 1} x" for i in range(3000)])
     assert S.match(ix, "w*").count() == 3000 and S.match(ix, "w* AND NOT w1").count() == 2998 and S.match(ix, 'w1500 THEN/0 w*').count() == 1
     assert S.full_scores(ix, "w1*").where("score > 0").count() == S.match(ix, "w1*").count() == 1115
+
+
+def test_files_follow_the_input(spark):
+    rows = spark.createDataFrame([(1, "red apple")], "doc_id long, body string")
+    assert Index.build(rows, "body").meta["buckets"] == 2 and Index.build(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "text").meta["buckets"] == 2
