@@ -116,7 +116,8 @@ class Index:
         ship(spark)
         path = path or f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
         if buckets is None:
-            size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+            leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()  # a join's own estimate is the product of its sides
+            size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
             files = size // FILE_BYTES if size < UNKNOWN else int(spark.conf.get("spark.sql.shuffle.partitions"))
             buckets = max(2, -(-min(files, MOST_FILES) // spread))
         meta = {

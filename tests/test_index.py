@@ -250,4 +250,6 @@ def test_wide_expansions(spark):
 
 def test_files_follow_the_input(spark):
     rows = spark.createDataFrame([(1, "red apple")], "doc_id long, body string")
-    assert Index.build(rows, "body").meta["buckets"] == 2 and Index.build(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "text").meta["buckets"] == 2
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    joined = docs.join(docs.select("doc_id", "n_chars").withColumnRenamed("n_chars", "n"), "doc_id")
+    assert Index.build(rows, "body").meta["buckets"] == 2 and Index.build(joined, "text").meta["buckets"] == 2 and Index.build(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "text").meta["buckets"] == 2
