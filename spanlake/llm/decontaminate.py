@@ -6,7 +6,8 @@ Windows of `window` template words of the corpus are hash-joined with those of t
 benchmark.  Windows at one alignment of a document with an item form a match; its
 slots must be consistent: where the item repeats a value the document repeats one,
 each item value standing for one document value.  So re-parameterised questions are
-caught, and texts that merely share a frame with unrelated fillings are not.
+caught, and texts that merely share a frame with unrelated fillings are not.  Where
+windows with equal values cover half of an item, other values don't matter.
 
 A window of fewer than `min_words` words that aren't placeholders has no frame to go
 by.  Items that are short, or have too few windows with a frame, are looked for word
@@ -87,26 +88,39 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def _spread(at: Column | str, width: Column) -> Column:
+    """How many words the windows of some width at ascending places cover."""
+    return F.aggregate(
+        at, F.struct((-width).alias("last"), F.lit(0).alias("n")),
+        lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(width, p - s["last"])).alias("n")), lambda s: s["n"],
+    )
+
+
 def _groups(ours: DataFrame, theirs: DataFrame, window: int, min_windows: int) -> DataFrame:
-    """Windows of documents that meet those of items, by alignment, where there are enough: doc_id, sig, item_id, shift, at, slots, n, share."""
+    """Windows of documents that meet those of items, by alignment, where there are enough: doc_id, sig, item_id, size, least, shift, at, slots, n, share."""
     hits = ours.drop("slots").join(_small(theirs), "h").select("doc_id", "sig", "item_id", "size", "least", "width", "slots", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos")
     group = hits.groupBy("doc_id", "sig", "item_id", "size", "least", "width", "shift").agg(F.sort_array(F.collect_set("ipos")).alias("at"), F.max("slots").alias("slots"))  # an item's windows at most
-    spread = F.aggregate(
-        "at", F.struct((-F.col("width")).alias("last"), F.lit(0).alias("n")),
-        lambda s, p: F.struct(p.alias("last"), (s["n"] + F.least(F.col("width"), p - s["last"])).alias("n")), lambda s: s["n"],
-    )
-    return group.where(F.size("at") >= F.col("least")).select("doc_id", "sig", "item_id", "shift", "at", "slots", F.size("at").alias("n"), (spread / F.col("size")).alias("share"))
+    return group.where(F.size("at") >= F.col("least")).select("doc_id", "sig", "item_id", "size", "least", "shift", "at", "slots", F.size("at").alias("n"), (_spread("at", F.col("width")) / F.col("size")).alias("share"))
 
 
 def _consistent(found: DataFrame, docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
-    """Of groups with slots, those where each of the item's values stands for one value of the document."""
+    """Of groups with slots, those where each of the item's values stands for one value of the document.
+
+    Or those of which windows with equal values alone are enough and cover half of the
+    item: a copy in which single occurrences of values were edited.
+    """
     valued = lambda x: F.filter(F.transform(x, lambda w, i: F.struct(i.alias("p"), w.alias("v"))), lambda s: _is_slot(s["v"]))
     theirs = items.select("item_id", valued(words(F.col("text"))).alias("values"))
     held = docs.join(_small(settle(found.select("doc_id", "sig").distinct(), "held")), ["doc_id", "sig"], "left_semi").dropDuplicates(["doc_id", "sig"])
     both = found.join(_small(theirs), "item_id").join(held.select("doc_id", "sig", words(F.col("text")).alias("t")), ["doc_id", "sig"])
     inside = F.filter("values", lambda s: F.exists("at", lambda a: s["p"].between(a, a + window - 1)))
     pairs = F.array_distinct(F.transform(inside, lambda s: F.struct(s["v"].alias("a"), F.get("t", s["p"] + F.col("shift")).alias("b"))))
-    return both.withColumn("pairs", pairs).where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))).select(*found.columns)
+    other = F.filter("values", lambda s: ~F.get("t", s["p"] + F.col("shift")).eqNullSafe(s["v"]))
+    equal = F.filter("at", lambda a: ~F.exists("other", lambda s: s["p"].between(a, a + window - 1)))
+    rows = both.withColumn("pairs", pairs).withColumn("other", other).withColumn("equal", equal)
+    one_for_one = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["a"])))
+    mostly_equal = (F.size("equal") >= F.col("least")) & (_spread("equal", F.lit(window)) * 2 >= F.col("size"))
+    return rows.where(one_for_one | mostly_equal).select(*found.columns)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_words: int = 5, min_windows: int = 3) -> DataFrame:

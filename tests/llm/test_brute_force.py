@@ -208,8 +208,15 @@ def test_decontamination_of_other_values(spark):
     item = "the shop of Anna sells 12 kg of rice for 30 dollars and Anna buys 12 kg of flour for the old bakery in town"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     rows = [
-        (1, item.replace("Anna", "Mary Ann Smith").replace("12", "7.5").replace("30", "1,200")), (2, item.replace("12 kg of flour", "13 kg of flour").replace("of Anna", "of Berta")),
+        (1, item.replace("Anna", "Mary Ann Smith").replace("12", "7.5").replace("30", "1,200")), (2, item.replace("12 kg of rice for 30", "13 kg of rice for 31").replace("Anna buys 12", "Clara buys 14").replace("of Anna", "of Berta")),
         (3, item.replace("kg", "miles")), (4, "the shop of Anna sells 12 kg of rice"), (5, item.upper()), (6, item.replace("Anna", "Anna" + "x" * 5000)), (7, "z" * 100_000), (8, item.replace(" ", "\n")),
     ]
     found = {x.doc_id for x in decontaminate.contaminated(docs(spark, rows), bench).collect()}
     assert {1, 3, 6} <= found and not {2, 4, 7} & found
+
+
+def test_decontamination_of_copies_with_an_edited_value(spark):
+    item = "the shop of Anna sells 12 kg of rice for 30 dollars and then the old owner writes a long letter about flour and bread to every baker in town before Anna buys 12 kg of flour"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(1, item.replace("buys 12", "buys 13")), (2, item.replace("of Anna sells 12 kg of rice for 30", "of Bert sells 13 kg of rice for 31").replace("Anna buys 12", "Carl buys 14").replace("a long letter about flour and bread", "some very short notes on other things")), (3, item.replace("of Anna sells 12 kg of rice for 30", "of Bert sells 13 kg of rice for 31"))]
+    assert {x.doc_id for x in decontaminate.contaminated(docs(spark, rows), bench).collect()} == {1, 3}
