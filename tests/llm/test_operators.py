@@ -164,6 +164,19 @@ def test_line_dedup(spark, odd, none, monkeypatch):
     assert {(x.doc_id, x.text) for x in same.collect()} == {(i, t) for i, t in ODD if i != 8} and same.count() == len(ODD) - 1
 
 
+def test_line_dedup_counts_words_in_a_sample(spark, monkeypatch):
+    r = random.Random(3)
+    base = [prose(r, n).split() for n in (12, 30, 36, 45, 60)]
+    rows = [(i, "\n".join(" ".join(w if r.random() > 0.06 else f"n{r.randint(0, 99)}" for w in r.choice(base)) for _ in range(3))) for i in range(30)]
+    want = {(rows[k][0], j) for k, j in slow_lines(rows)}
+    df = docs(spark, rows).select("doc_id", "text")
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1 << 60)  # no short text is counted, so the order is that of the hashes alone
+    assert want and {tuple(x) for x in line_dedup.duplicate_lines(df).collect()} == want
+    assert not any(line_dedup.rarity(line_dedup.told_apart(df)))
+    long = docs(spark, [(1, "a bb ccc " * (line_dedup.LONG // 9 + 1))]).select("doc_id", "text")
+    assert sum(map(bool, line_dedup.rarity(line_dedup.told_apart(long)))) in (3, 4)  # its words and what is behind the last blank
+
+
 def test_line_dedup_of_rows_that_share_an_id(spark):
     a, b = "one two three four five six seven eight", "red green blue black white pink brown grey"
     rows = [(0, a), (1, a), (1, b + "\n" + a), (2, "x"), (2, "x"), (None, a), (3, None)]
