@@ -42,3 +42,23 @@ def test_column_equals_analyzer(spark):
 
 def test_stop_words():
     assert len(builtin_stop_words("en")) == 59 and set(builtin_stop_words("en")) < set(builtin_stop_words("AUTO"))
+
+
+def test_tokens_leave_in_small_pieces():
+    """A batch of long texts isn't held as tokens as a whole, and its pieces are the analyzer's tokens."""
+    import pyarrow as pa
+
+    from spanlake.functions import analysis as A
+
+    spec = A.AnalyzerSpec(tokenizer="whitespace", long_tokens="discard", max_token_bytes=8)
+    a = A.Analyzer(spec)
+    texts = [None, "", "Straße İx toolongword _ ΑΣ", *(f"Word{i} and more " * 9000 for i in range(40)), "end\x1cof", None]
+
+    def fill(t, held):
+        for c, values in zip(("text", "pos"), a.words(t)):
+            held[c] += values
+
+    parts = list(A._lists(pa.array(texts), {"text": pa.string(), "pos": pa.int32()}, fill))
+    assert max(len(p.flatten()) for p in parts) * 5 < A.PIECE + 200_000 and len(parts) > 4
+    got = [x for p in parts for x in p.to_pylist()]
+    assert got == [None if t is None else [{"text": x.text, "pos": x.pos} for x in a.tokens(t)] for t in texts]
