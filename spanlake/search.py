@@ -8,6 +8,7 @@ from functools import reduce
 from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -208,9 +209,9 @@ def matches_column(text: Column, query: str, spec: AnalyzerSpec | None = None) -
     analyzer = Analyzer(spec)
     q = compile_query(query, analyzer)
 
-    @F.pandas_udf("boolean")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else _evaluate.evaluate(q, _evaluate.Doc.of({"body": t}, analyzer)))
+    @F.arrow_udf("boolean")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array((None if (t := x.as_py()) is None else _evaluate.evaluate(q, _evaluate.Doc.of({"body": t}, analyzer)) for x in texts), pa.bool_())
 
     return run(text)
 
