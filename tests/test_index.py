@@ -253,3 +253,37 @@ def test_files_follow_the_input(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     joined = docs.join(docs.select("doc_id", "n_chars").withColumnRenamed("n_chars", "n"), "doc_id")
     assert Index.build(rows, "body").meta["buckets"] == 2 and Index.build(joined, "text").meta["buckets"] == 2 and Index.build(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "text").meta["buckets"] == 2
+
+
+def test_tokens_are_grouped_in_slices(spark):
+    """Python holds a slice of a batch, however long its documents are, and postings leave it in packets by file."""
+    import pyarrow as pa
+
+    from spanlake.functions.analysis import AnalyzerSpec
+    from spanlake.sources import index as I
+
+    words = [[f"w{i % 7}" for i in range(300_000)], ["b", "a", "b"], None, ["w1"] * 250_000, [], *[["x", "y"]] * 50]
+    batch = pa.RecordBatch.from_pydict({
+        "doc_id": pa.array(range(len(words))), "part": pa.array([i % 2 for i in range(len(words))], pa.int32()),
+        "w0": pa.array(words, pa.list_(pa.string())), "t0": pa.array([None, None, "\u6211 z \u6211", *[None] * (len(words) - 3)], pa.string()),
+    })
+    sizes = [sum(len(w or ()) for w in b.column("w0").to_pylist()) for b in I._slices(batch, 1)]
+    assert sum(sizes) == sum(len(w or ()) for w in words) and len(sizes) > 1 and max(sizes) < I.SLICE + 300_000
+    packets = list(I._grouped(1, AnalyzerSpec(), 3, 2)([batch]))
+    rows = [r for b in I._unpacked(3, 2)(packets) for r in b.to_pylist()]
+    posts = {(r["doc_id"], r["term"]): r["positions"] for r in rows if r["field"] == 0}
+    assert posts[1, "b"] == [0, 2] and posts[1, "a"] == [1] and posts[2, "\u6211"] == [0, 2] and posts[0, "w3"] == [*range(3, 300_000, 7)] and len(posts) == 7 + 2 + 2 + 1 + 100
+    assert all(r["bucket"] == I.bucket_number(r["term"], 3) and r["tf"] == len(r["positions"]) and r["first"] for r in rows if r["field"] == 0)
+    assert sorted((r["doc_id"], r["dl"]) for r in rows if r["bucket"] < 0) == [(0, 300_000), (1, 3), (2, 3), (3, 250_000), *((i, 2) for i in range(5, 55))]
+
+
+def test_documents_are_counted_once_over_fields(spark):
+    """Without grouping all postings by document, and after the merge of an index that was written before `first`."""
+    rows = [(1, "red", "red wine red"), (2, "red", "beer"), (3, "wine", "wine"), (4, None, "red")]
+    ix = Index.build(spark.createDataFrame(rows, "doc_id long, title string, body string"), ["title", "body"])
+    want = {"red": 3, "wine": 2, "beer": 1}
+    count = lambda index: {r.term: r.df for r in index.terms.collect()}
+    assert count(ix) == want and ix._postings(ix.meta["gens"]).where("first").count() == sum(want.values())
+    ix = ix.delete(spark.createDataFrame([(2,)], "doc_id long"))
+    old = Index(spark, ix.path, {k: v for k, v in ix.meta.items() if k != "firsts"})
+    assert count(old.compact()) == {"red": 2, "wine": 2}
