@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from spanlake import ship
-from spanlake.functions.analysis import Analyzer, AnalyzerSpec, is_latin, latin_words, token_column
+from spanlake.functions.analysis import Analyzer, AnalyzerSpec, is_latin, latin_words, token_count
 from spanlake.plans.parser import QueryError
 from spanlake.settings import setting
 from spanlake.sources.scratch import shared_dir
@@ -437,20 +437,31 @@ class Index:
     def verify(self, source: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
         """severity, location, message of every inconsistency; with source, against the rows themselves."""
         posts, docs = self.postings, self.docs
-        say = lambda df, sev, where, what: df.select(F.lit(sev).alias("severity"), where.alias("location"), F.lit(what).alias("message"))
-        doc = F.concat(F.lit("doc "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-        sums = posts.groupBy("doc_id").agg(F.sum("tf").alias("held"))
+        place = F.concat(F.lit("doc "), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+
+        def say(rows, where, *faults):
+            """A row of the report for each fault (condition, message, severity) of a row."""
+            told = F.array(*(F.when(cond, F.struct(F.lit(severity).alias("severity"), where.alias("location"), F.lit(what).alias("message"))) for cond, what, severity in faults))
+            return rows.select(F.explode(F.filter(told, lambda x: x.isNotNull())).alias("x")).select("x.*")
+
+        held = posts.groupBy("doc_id").agg(F.sum("tf").alias("held")).withColumnRenamed("doc_id", "held_id")
+        own = docs.select("doc_id", "dl", F.lit(True).alias("known"))
+        size = F.size("positions")
         found = [
-            say(posts.select("doc_id").distinct().join(docs, "doc_id", "left_anti"), "error", doc, "postings without a document"),
-            say(docs.join(sums, "doc_id", "left").where(~F.col("dl").eqNullSafe(F.col("held"))), "error", doc, "length differs from its postings"),
-            say(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL"), "error", doc, "repeated or null document id"),
-            say(posts.where((F.size("positions") != F.col("tf")) | ~F.col("positions").eqNullSafe(F.array_distinct(F.sort_array("positions")))), "error", F.concat(F.lit("term "), F.col("term")), "positions don't ascend or don't count up to tf"),
-            say(posts.where(bucket_of(F.col("term"), self.meta["buckets"]) != F.col("bucket")), "error", F.concat(F.lit("term "), F.col("term")), "posting in the wrong bucket"),
+            say(own.join(held, F.col("doc_id") == F.col("held_id"), "full").withColumn("doc_id", F.coalesce("doc_id", "held_id")), place,
+                (F.col("known").isNull(), "postings without a document", "error"),
+                (F.col("known").isNotNull() & ~F.col("dl").eqNullSafe(F.col("held")), "length differs from its postings", "error")),
+            say(docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL"), place, (F.lit(True), "repeated or null document id", "error")),
+            say(posts, F.concat(F.lit("term "), F.col("term")),
+                ((size != F.col("tf")) | F.when(size != 1, ~F.col("positions").eqNullSafe(F.array_distinct(F.sort_array("positions")))).otherwise(F.lit(False)), "positions don't ascend or don't count up to tf", "error"),
+                (bucket_of(F.col("term"), self.meta["buckets"]) != F.col("bucket"), "posting in the wrong bucket", "error")),
         ]
         if source is not None:
-            there = source.select(F.col(id_col).alias("doc_id"), sum((F.coalesce(F.greatest(F.size(token_column(F.col(f), self.analyzer.spec)), F.lit(0)), F.lit(0)) for f in self.fields), F.lit(0)).alias("n"))
-            found.append(say(there.where("n > 0").join(docs, "doc_id", "left_anti"), "error", doc, "row isn't indexed"))
-            found.append(say(docs.join(there, "doc_id", "left").where(~F.col("dl").eqNullSafe(F.col("n"))), "warning", doc, "row has gone or changed"))
+            count = [F.coalesce(F.greatest(F.size(f"w{i}"), F.lit(0)), F.lit(0)) + F.coalesce(token_count(F.col(f"t{i}"), self.analyzer.spec), F.lit(0)) for i in range(len(self.fields))]
+            there = self._tokenized(source, id_col).select(F.col("doc_id").alias("row_id"), sum(count, F.lit(0)).alias("n"))
+            found.append(say(there.join(own, F.col("row_id") == F.col("doc_id"), "full").withColumn("doc_id", F.coalesce("doc_id", "row_id")), place,
+                             (F.col("known").isNull() & (F.col("n") > 0), "row isn't indexed", "error"),
+                             (F.col("known").isNotNull() & ~F.col("dl").eqNullSafe(F.col("n")), "row has gone or changed", "warning")))
         out = found[0]
         for f in found[1:]:
             out = out.unionByName(f)

@@ -287,3 +287,28 @@ def test_documents_are_counted_once_over_fields(spark):
     ix = ix.delete(spark.createDataFrame([(2,)], "doc_id long"))
     old = Index(spark, ix.path, {k: v for k, v in ix.meta.items() if k != "firsts"})
     assert count(old.compact()) == {"red": 2, "wine": 2}
+
+
+def test_verify_reads_rows_and_postings_once(spark):
+    """All faults, each as often as it occurs, from one reading of the source and one of the postings by document."""
+    df = lambda rows: spark.createDataFrame(rows, "doc_id long, body string")
+    ix = Index.build(df([(1, "a b a"), (2, "b"), (3, "c c"), (4, "d")]), "body", buckets=2, spread=1)
+    at, row = f"{ix.path}/postings/gen=0", "term string, doc_id long, field int, positions array<int>, tf int, dl int, first boolean"
+    put = lambda rows, bucket: spark.createDataFrame(rows, row).write.mode("append").parquet(f"{at}/bucket={bucket}")
+    put([("zz", 99, 0, [0], 1, 1, True)], ix.bucket_number("zz"))  # no such document
+    put([("q", 2, 0, [5, 3], 2, 1, True)], 1 - ix.bucket_number("q"))  # wrong bucket, positions fall, length 1
+    put([("", 3, -1, [2], 2, 2, True), ("", 3, -1, [7], 7, 7, True), ("", None, -1, [1], 1, 1, True)], -1)
+    source = df([(1, "a b a"), (2, "b b"), (3, "c c"), (5, "new"), (6, ""), (None, "n")])
+    report = ix.verify(source)
+    got = sorted((r.severity, r.location, r.message) for r in report.collect())
+    assert got == sorted([
+        ("error", "doc 99", "postings without a document"),
+        ("error", "doc 2", "length differs from its postings"), ("error", "doc 3", "length differs from its postings"), ("error", "doc null", "length differs from its postings"),
+        ("error", "doc 3", "repeated or null document id"), ("error", "doc null", "repeated or null document id"),
+        ("error", "term q", "positions don't ascend or don't count up to tf"), ("error", "term q", "posting in the wrong bucket"),
+        ("error", "doc 5", "row isn't indexed"), ("error", "doc null", "row isn't indexed"),
+        ("warning", "doc 2", "row has gone or changed"), ("warning", "doc 3", "row has gone or changed"), ("warning", "doc 4", "row has gone or changed"), ("warning", "doc null", "row has gone or changed"),
+    ])
+    leaves = report._jdf.queryExecution().optimizedPlan().collectLeaves()
+    kinds = [str(leaves.apply(i).nodeName()) for i in range(leaves.size())]
+    assert sum("LogicalRDD" in k or "LocalRelation" in k for k in kinds) == 1 and len(kinds) == 6, kinds
