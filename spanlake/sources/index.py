@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from spanlake import ship
-from spanlake.functions.analysis import Analyzer, AnalyzerSpec, is_latin, latin_words, token_count
+from spanlake.functions.analysis import Analyzer, AnalyzerSpec, token_count
 from spanlake.plans.parser import QueryError
 from spanlake.settings import setting
 from spanlake.sources.scratch import shared_dir
@@ -87,27 +87,34 @@ def _slices(batch: pa.RecordBatch, n_fields: int):
     """Rows of a batch with about SLICE tokens, or one."""
     weight = np.ones(batch.num_rows, np.int64)
     for f in range(n_fields):
-        weight += pc.fill_null(pc.list_value_length(batch.column(f"w{f}")), 0).to_numpy(zero_copy_only=False)
+        if f"w{f}" in batch.schema.names:
+            weight += pc.fill_null(pc.list_value_length(batch.column(f"w{f}")), 0).to_numpy(zero_copy_only=False)
         weight += pc.fill_null(pc.binary_length(batch.column(f"t{f}")), 0).to_numpy(zero_copy_only=False) // 3
     for a, b in _runs(np.cumsum(weight) // SLICE):
         yield batch.slice(a, b - a)
 
 
 def _grouped(n_fields: int, spec: AnalyzerSpec, buckets: int, spread: int):
-    """Arrow function: doc_id, part and, by field, native tokens w or, where those don't apply, the text t -> packets of postings and of documents."""
+    """Arrow function: doc_id, part and, by field, the text t, or tokens w of texts that are null -> packets of postings and of documents."""
     def postings(batch, analyzer):
         """Postings of some documents, sorted by part, bucket, term, row and field, their places, and lengths by field."""
         n, part = batch.num_rows, batch.column("part").to_numpy(zero_copy_only=False).astype(np.int64)
         lengths, rows, places, terms, fields = np.zeros((n_fields, n), np.int64), [], [], [], []
         for f in range(n_fields):
-            words, texts = batch.column(f"w{f}"), batch.column(f"t{f}")
+            texts = batch.column(f"t{f}")
+            words = batch.column(f"w{f}") if f"w{f}" in batch.schema.names else pa.nulls(n, pa.list_(pa.string()))
             size = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             row = np.repeat(np.arange(n), size)
             own = [row], [np.arange(len(row)) - np.repeat(size.cumsum() - size, size)], [pc.list_flatten(words).cast(pa.string())]
-            for i in np.flatnonzero(pc.is_valid(texts).to_numpy(zero_copy_only=False)).tolist():
-                found, at = analyzer.words(texts[i].as_py())
-                for x, more in zip(own, (np.full(len(found), i), np.array(at, np.int64), pa.array(found, pa.string()))):
-                    x.append(more)
+            spoken, counts, spots = [], np.zeros(n, np.int64), []
+            for i, text in enumerate(texts):
+                if (text := text.as_py()) is not None:
+                    found, at = analyzer.words(text)
+                    spoken += found
+                    counts[i] = len(found)
+                    spots.append(np.asarray(at, np.int64))
+            for x, more in zip(own, (np.repeat(np.arange(n), counts), np.concatenate(spots or [np.zeros(0, np.int64)]), pa.array(spoken, pa.string()))):
+                x.append(more)
             row = np.concatenate(own[0])
             lengths[f] = np.bincount(row, minlength=n)
             rows.append(row)
@@ -246,23 +253,18 @@ class Index:
         self.spark.range(1).select(F.lit(json.dumps(meta)).alias("json")).coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/meta/version={meta['version']}")
         return Index(self.spark, self.path, meta)
 
-    def _tokenized(self, df: DataFrame, id_col: str) -> DataFrame:
-        """doc_id and, by field, native tokens w or, where those don't apply, the text t."""
-        spec, own = self.analyzer.spec, range(len(self.fields))
-        rows = df.select(F.col(id_col).alias("doc_id"), *(F.col(f).alias(f"x{i}") for i, f in enumerate(self.fields)))
+    def _texts(self, df: DataFrame, id_col: str) -> DataFrame:
+        """doc_id and the fields' texts t0, t1, ..., in partitions enough for the cores."""
+        rows = df.select(F.col(id_col).alias("doc_id"), *(F.col(f).cast("string").alias(f"t{i}") for i, f in enumerate(self.fields)))
         cores = self.spark.sparkContext.defaultParallelism
         if self.meta["buckets"] <= cores and rows._jdf.rdd().getNumPartitions() < cores:  # few splits of a small input would leave cores idle
             rows = rows.repartition(cores)
-        none = F.lit(None).cast("array<string>")
-        native = [latin_words(F.col(f"x{i}"), spec) for i in own]
-        rows = rows.select("*", *((none if w is None else w).alias(f"w{i}") for i, w in enumerate(native)))
-        plain = [F.lit(False) if native[i] is None else is_latin(F.col(f"x{i}"), F.col(f"w{i}"), spec) for i in own]
-        return rows.select("doc_id", *(F.when(plain[i], F.col(f"w{i}")).alias(f"w{i}") for i in own), *(F.when(~plain[i], F.col(f"x{i}")).alias(f"t{i}") for i in own))
+        return rows
 
     def _write(self, df: DataFrame, id_col: str, gen: int, gens: list[int]) -> Index:
         m = self.meta
         part = F.pmod(F.xxhash64("doc_id"), F.lit(m["spread"])).cast("int").alias("part")
-        packets = self._tokenized(df, id_col).select("*", part).mapInArrow(_grouped(len(self.fields), self.analyzer.spec, m["buckets"], m["spread"]), PACKET)
+        packets = self._texts(df, id_col).select("*", part).mapInArrow(_grouped(len(self.fields), self.analyzer.spec, m["buckets"], m["spread"]), PACKET)
         return self._lay(packets, gen)._save_meta(gens=[*gens, gen], next=gen + 1)
 
     def _lay(self, packets: DataFrame, gen: int) -> Index:
@@ -457,8 +459,8 @@ class Index:
                 (bucket_of(F.col("term"), self.meta["buckets"]) != F.col("bucket"), "posting in the wrong bucket", "error")),
         ]
         if source is not None:
-            count = [F.coalesce(F.greatest(F.size(f"w{i}"), F.lit(0)), F.lit(0)) + F.coalesce(token_count(F.col(f"t{i}"), self.analyzer.spec), F.lit(0)) for i in range(len(self.fields))]
-            there = self._tokenized(source, id_col).select(F.col("doc_id").alias("row_id"), sum(count, F.lit(0)).alias("n"))
+            count = [F.coalesce(token_count(F.col(f"t{i}"), self.analyzer.spec), F.lit(0)) for i in range(len(self.fields))]
+            there = self._texts(source, id_col).select(F.col("doc_id").alias("row_id"), sum(count, F.lit(0)).alias("n"))
             found.append(say(there.join(own, F.col("row_id") == F.col("doc_id"), "full").withColumn("doc_id", F.coalesce("doc_id", "row_id")), place,
                              (F.col("known").isNull() & (F.col("n") > 0), "row isn't indexed", "error"),
                              (F.col("known").isNotNull() & ~F.col("dl").eqNullSafe(F.col("n")), "row has gone or changed", "warning")))
